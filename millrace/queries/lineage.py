@@ -144,9 +144,9 @@ def reachable_sinks(spark, sf_dir):
         UNION ALL SELECT job, root, 'actions', sink, call || '_' || line FROM reached
     ), lists AS (
         SELECT job, node_id, list, '[' || string_agg(item, ',' ORDER BY place) || ']' AS items FROM items GROUP BY ALL
-    ), both AS (SELECT *, unnest(['children', 'actions']) AS list FROM nodes)
+    ), wanted AS (SELECT *, unnest(['children', 'actions']) AS list FROM nodes)
     SELECT b.job, b.node_id, b.name, b.line, b.list, CAST(0 AS BIGINT) AS chunk, coalesce(l.items, ']') AS items
-    FROM both b LEFT JOIN lists l ON b.job = l.job AND b.node_id = l.node_id AND b.list = l.list""",
+    FROM wanted b LEFT JOIN lists l ON b.job = l.job AND b.node_id = l.node_id AND b.list = l.list""",
 )
 def node_summary(spark, sf_dir):
     made, inner, sinks, roots = graph_parts(spark, sf_dir)
