@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import HOT_ROWS, Running, running, with_blocks
@@ -49,9 +49,9 @@ def loop_scopes(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
 def scope_reads(statements: DataFrame) -> DataFrame:
     """Right-hand mentions of declarations and assignments, and plain uses."""
     assigned = F.col("kind").isin("def", "write")
+    names = F.when(assigned, F.col("inputs")).otherwise(F.array("name"))
     return statements.where(assigned | (F.col("kind") == "use")).select(
-        "job", "scope", "depth", "pos", "kind",
-        F.when(assigned, F.col("src_name")).otherwise(F.col("name")).alias("name"),
+        "job", "scope", "depth", "pos", "kind", F.explode(names).alias("name")
     )
 
 
@@ -81,14 +81,13 @@ def loop_invariant_inputs(statements: DataFrame, loops: DataFrame) -> DataFrame:
     Reads and writes fold into one row per scope and name before anything joins.
     A nested loop is judged by its own reads and writes.
     """
-    assigned = F.col("kind").isin("def", "write")
+    def role(name: Column, read: bool) -> Column:
+        return F.struct(name.alias("name"), F.lit(read).alias("read"))
+
+    reads = F.transform("inputs", lambda name: role(name, True))
     roles = F.when(
-        assigned,
-        F.array(
-            F.struct(F.col("src_name").alias("name"), F.lit(True).alias("read")),
-            F.struct(F.col("name").alias("name"), F.lit(False).alias("read")),
-        ),
-    ).when(F.col("kind") == "use", F.array(F.struct("name", F.lit(True).alias("read"))))
+        F.col("kind").isin("def", "write"), F.concat(F.array(role(F.col("name"), False)), reads)
+    ).when(F.col("kind") == "use", F.array(role(F.col("name"), True)))
     touched = (
         statements.where(F.col("depth") > 0)
         .select("job", "scope", "pos", F.explode(roles).alias("role"))

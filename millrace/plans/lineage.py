@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.grouping import CHUNK, value_lists
@@ -21,13 +21,17 @@ def bindings(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     the newest earlier declaration or assignment is a version if any declaration
     came before. A statement's mentions are bound before its own version is added.
     """
-    def slot(role: str, name: str):
-        return F.struct(F.lit(role).alias("role"), F.col(name).alias("name"))
+    def slot(role: str, name: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), name.alias("name"))
 
+    def slots_of(role: str) -> Column:
+        return F.transform("inputs", lambda name: slot(role, name))
+
+    name = F.col("name")
     slots = (
-        F.when(F.col("kind").isin("def", "write"), F.array(slot("version", "name"), slot("input", "src_name")))
-        .when(F.col("kind") == "use", F.array(slot("read", "name")))
-        .when(F.col("kind") == "action", F.array(slot("receiver", "name"), slot("argument", "src_name")))
+        F.when(F.col("kind").isin("def", "write"), F.concat(F.array(slot("version", name)), slots_of("input")))
+        .when(F.col("kind") == "use", F.array(slot("read", name)))
+        .when(F.col("kind") == "action", F.concat(F.array(slot("receiver", name)), slots_of("argument")))
     )
     rows = statements.select(
         "job", "pos", "line", "kind", "call", F.explode(slots).alias("slot")

@@ -1,10 +1,12 @@
 """The statement table that the lineage jobs work on.
 
-``statements(job, pos, line, kind, name, src_name, call, covered, scope, depth)``:
+``statements(job, pos, line, kind, name, inputs, call, covered, scope, depth)``:
 one row per statement of many driver programs. ``pos`` is unique within a job and
 rises along the program; ``scope`` numbers stretches of statements at one loop
 ``depth`` (0 is outside any loop). Kinds are ``def`` (declaration), ``write``
 (assignment), ``use`` (mention in an expression), ``action`` and ``cover``.
+``inputs`` are the names on the right-hand side, or in the arguments of an
+action's call chain, repeats kept.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def from_events(events: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
             (F.floor(earlier / LINE_ROWS) + 1).alias("line"),
             "kind",
             _dataset(F.col("k")).alias("name"),
-            _dataset(F.col("k") + 1).alias("src_name"),
+            _inputs(F.col("kind"), F.col("k")).alias("inputs"),
             F.when(
                 F.col("kind") == "action", F.get(F.array(*map(F.lit, CALLS)), (F.col("k") % len(CALLS)).cast("int"))
             ).alias("call"),
@@ -62,18 +64,33 @@ def _dataset(k: Column) -> Column:
     return F.concat(F.lit("d"), (k % NAMES).cast("string"))
 
 
+def _inputs(kind: Column, k: Column) -> Column:
+    """One other name; sometimes two, the same one twice, or the assigned name itself."""
+    after = _dataset(k + 1)
+    return (
+        F.when((kind == "write") & (k % 4 == 0), F.array(_dataset(k)))
+        .when(k % 3 == 0, F.array(after, _dataset(k + 2)))
+        .when(k % 11 == 0, F.array(after, after))
+        .otherwise(F.array(after))
+    )
+
+
 def as_lines(statements: DataFrame) -> DataFrame:
     """Program text ``lines(path, line_no, text)``, indented by loop depth."""
+    names = F.array_join("inputs", ", ")
+    made = F.concat(F.col("name"), F.lit(" = map("), names, F.lit(")"))
     text = (
         F.when(
             F.col("kind") == "def",
-            F.when(F.col("covered"), F.format_string("JavaRDD %s = %s.map().persist();", "name", "src_name"))
-            .otherwise(F.format_string("JavaRDD %s = %s.map();", "name", "src_name")),
+            F.concat(F.lit("JavaRDD "), made, F.when(F.col("covered"), ".persist();").otherwise(";")),
+        )
+        .when(F.col("kind") == "write", F.concat(made, F.lit(";")))
+        .when(F.col("kind") == "use", F.concat(F.lit("show("), F.col("name"), F.lit(");")))
+        .when(
+            F.col("kind") == "action",
+            F.concat(F.col("name"), F.lit(".union("), names, F.lit(")."), F.col("call"), F.lit("();")),
         )
-        .when(F.col("kind") == "write", F.format_string("%s = %s.map();", "name", "src_name"))
-        .when(F.col("kind") == "use", F.format_string("show(%s);", "name"))
-        .when(F.col("kind") == "action", F.format_string("%s.union(%s).%s();", "name", "src_name", "call"))
-        .otherwise(F.format_string("%s.cache();", "name"))
+        .otherwise(F.concat(F.col("name"), F.lit(".cache();")))
     )
     return (
         statements.groupBy(F.col("job").alias("path"), F.col("line").alias("line_no"))

@@ -19,7 +19,11 @@ STATEMENTS = f"""base AS (
         row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
     FROM events
 ), statements AS (
-    SELECT job, pos, (rn - 1) // 2 + 1 AS line, kind, 'd' || (k % 5) AS name, 'd' || ((k + 1) % 5) AS src_name,
+    SELECT job, pos, (rn - 1) // 2 + 1 AS line, kind, 'd' || (k % 5) AS name,
+        CASE WHEN kind = 'write' AND k % 4 = 0 THEN ['d' || (k % 5)]
+             WHEN k % 3 = 0 THEN ['d' || ((k + 1) % 5), 'd' || ((k + 2) % 5)]
+             WHEN k % 11 = 0 THEN ['d' || ((k + 1) % 5), 'd' || ((k + 1) % 5)]
+             ELSE ['d' || ((k + 1) % 5)] END AS inputs,
         CASE WHEN kind = 'action' THEN list_extract([{_CALLS}], k % 5 + 1) END AS call,
         kind = 'def' AND k % 7 = 0 AS covered, (rn - 1) // 8 AS scope, ((rn - 1) // 8) % 3 AS depth
     FROM base
@@ -31,10 +35,10 @@ BOUND = f"""{STATEMENTS}, declared AS (
     SELECT s.job, s.pos AS node_id, s.name, s.line FROM statements s JOIN declared d USING (job, name)
     WHERE s.kind = 'def' OR (s.kind = 'write' AND s.pos > d.first_pos)
 ), mentions AS (
-    SELECT job, pos, line, call, 'input' AS role, src_name AS name FROM statements WHERE kind IN ('def', 'write')
+    SELECT job, pos, line, call, 'input' AS role, unnest(inputs) AS name FROM statements WHERE kind IN ('def', 'write')
     UNION ALL SELECT job, pos, line, call, 'read', name FROM statements WHERE kind = 'use'
     UNION ALL SELECT job, pos, line, call, 'receiver', name FROM statements WHERE kind = 'action'
-    UNION ALL SELECT job, pos, line, call, 'argument', src_name FROM statements WHERE kind = 'action'
+    UNION ALL SELECT job, pos, line, call, 'argument', unnest(inputs) FROM statements WHERE kind = 'action'
 ), bound AS (
     SELECT m.job, m.pos, m.line, m.call, m.role, m.name, n.node_id AS def_pos
     FROM mentions m ASOF JOIN nodes n ON m.job = n.job AND m.name = n.name AND m.pos > n.node_id
@@ -188,7 +192,7 @@ COVERS = """outer_defs AS (
 )"""
 
 INVARIANTS = f"""{LOOPS}, {COVERS}, reads AS (
-    SELECT job, scope, depth, pos, kind, CASE WHEN kind = 'use' THEN name ELSE src_name END AS name
+    SELECT job, scope, depth, pos, kind, unnest(CASE WHEN kind = 'use' THEN [name] ELSE inputs END) AS name
     FROM statements WHERE kind IN ('def', 'write', 'use')
 ), writes AS (SELECT job, scope, name FROM statements WHERE kind IN ('def', 'write')
 ), invariants AS (
@@ -344,11 +348,11 @@ def patch_lines(spark, sf_dir):
 
 PROGRAM_LINES = """parts AS (
     SELECT job AS path, line AS line_no, pos, depth, CASE
-        WHEN kind = 'def' AND covered THEN 'JavaRDD ' || name || ' = ' || src_name || '.map().persist();'
-        WHEN kind = 'def' THEN 'JavaRDD ' || name || ' = ' || src_name || '.map();'
-        WHEN kind = 'write' THEN name || ' = ' || src_name || '.map();'
+        WHEN kind = 'def' THEN 'JavaRDD ' || name || ' = map(' || array_to_string(inputs, ', ') || ')'
+            || CASE WHEN covered THEN '.persist();' ELSE ';' END
+        WHEN kind = 'write' THEN name || ' = map(' || array_to_string(inputs, ', ') || ');'
         WHEN kind = 'use' THEN 'show(' || name || ');'
-        WHEN kind = 'action' THEN name || '.union(' || src_name || ').' || call || '();'
+        WHEN kind = 'action' THEN name || '.union(' || array_to_string(inputs, ', ') || ').' || call || '();'
         ELSE name || '.cache();' END AS part FROM statements
 ), lines AS (
     SELECT path, line_no, repeat(chr(9), CAST(min(depth) AS INTEGER)) || string_agg(part, ' ' ORDER BY pos) AS text
