@@ -17,6 +17,8 @@ from millrace.session import cut
 BASE_RANK = 0.15
 DAMPING = 0.85
 
+LINKS_PER_PARTITION = 4_000_000
+
 
 def parse_edges(lines: DataFrame, column: str = "value") -> DataFrame:
     """``src dst`` lines to pairs; further fields are ignored."""
@@ -36,8 +38,10 @@ def pagerank(pairs: DataFrame, rounds: int, hot_rows: int = HOT_ROWS) -> DataFra
     above ``hot_rows`` are spread over several salts.
     """
     spark = pairs.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = cut(pairs.select("src", "dst").distinct(), "links")
+    width = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), distinct.count() // LINKS_PER_PARTITION
+    )
     degrees = distinct.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).persist(
         StorageLevel.MEMORY_AND_DISK
     )
@@ -81,24 +85,24 @@ def closure(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     ``hops`` is the length of the shortest path. Each round doubles the length
     covered: a pair 2^k + d hops apart is one that is 2^k apart followed by one at
     most 2^k apart, so only the pairs exactly 2^k apart need extending, and a
-    graph of depth D takes log2(D) rounds. Stops when a round finds no new pair.
+    graph of depth D takes log2(D) rounds. It is complete when no pair is that far
+    apart. Known and longer pairs merge in one shuffle by pair, which also removes
+    repeats; a node that very many paths cross skews only the join before it,
+    whose large side is split at run time.
     """
-    start, end = [*within, "src"], [*within, "dst"]
-    pair = [*within, "src", "dst"]
+    start = [*within, "src"]
+    pair = [*start, "dst"]
     known = cut(edges.select(*pair, F.lit(1).alias("hops")).distinct(), "paths")
-    newest, reach = known, 1
-    while not newest.isEmpty():
-        heads = newest.where(F.col("hops") == reach).select(
-            *within, "src", F.col("dst").alias("mid")
-        )
+    reach = 1
+    while not known.where(F.col("hops") == reach).isEmpty():
+        heads = known.where(F.col("hops") == reach).select(*start, F.col("dst").alias("mid"))
         tails = known.select(*within, F.col("src").alias("mid"), "dst", F.col("hops").alias("rest"))
-        longer = (
-            heads.join(tails, [*within, "mid"])
-            .groupBy(*pair)
-            .agg((F.min("rest") + reach).alias("hops"))
+        longer = heads.join(tails, [*within, "mid"]).select(
+            *pair, (F.col("rest") + reach).alias("hops")
+        )
+        known = cut(
+            known.unionByName(longer).groupBy(*pair).agg(F.min("hops").alias("hops")), "paths"
         )
-        newest = cut(longer.join(known.select(*pair), pair, "left_anti"), "paths")
-        known = known.unionByName(newest)
         reach *= 2
     return known
 

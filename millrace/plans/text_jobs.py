@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import log_field, split_space
+from millrace.functions.text import log_parts, split_space
 from millrace.operators.relational import flat_map
 
 
@@ -22,14 +22,13 @@ def log_records(lines: DataFrame, column: str = "value") -> DataFrame:
     Lines that do not match, and those of an anonymous user, have a null key; an
     anonymous line keeps its bytes. A size of ``-`` counts as 0.
     """
+    names = ("ip", "user", "query", "bytes")
     line = F.col(column)
-    fields = lines.select(
-        log_field(line, "ip").alias("ip"),
-        log_field(line, "user").alias("user"),
-        log_field(line, "query").alias("query"),
-        log_field(line, "bytes").alias("bytes"),
+    matched = lines.select(line.alias("_line"), log_parts(line, *names).alias("_parts")).select(
+        F.when(F.col("_parts") != F.col("_line"), F.split("_parts", "\n")).alias("_parts")
     )
-    named = (F.col("ip") != "") & (F.lower("user") != "-")
+    fields = matched.select(*[F.get("_parts", F.lit(i)).alias(name) for i, name in enumerate(names)])
+    named = F.lower("user") != "-"
     return fields.select(
         *[F.when(named, F.col(c)).alias(c) for c in ("ip", "user", "query")],
         F.coalesce(F.col("bytes").try_cast("long"), F.lit(0)).alias("bytes"),
