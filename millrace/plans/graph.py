@@ -54,6 +54,7 @@ def pagerank(pairs: DataFrame, rounds: int, hot_rows: int = HOT_ROWS) -> DataFra
         .sortWithinPartitions("src", "salt")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    links.count()  # the planner trusts the layout of a cached table once it is filled
     ranks = degrees.select(F.col("src").alias("node"), F.lit(1.0).alias("rank"))
     for _ in range(rounds):
         shares = ranks.withColumnRenamed("node", "src").join(degrees, "src").select(

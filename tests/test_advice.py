@@ -1,6 +1,7 @@
 """Advice and patches on small programs whose right answers are known."""
 
-import pytest
+import functools
+
 from pyspark.sql import functions as F
 
 from millrace.plans import advice, patch
@@ -81,19 +82,28 @@ RANK = [
 LIBRARY = [(40, "def", "data", [], 0), (41, "def", "parsed", ["data"], 0), (55, "use", "parsed", [], 0)]
 
 
-@pytest.mark.parametrize(
-    "statements, expected",
-    [
-        (LOGISTIC, {(130, "points", "Iteration")}),
-        (CLUSTERING, {(105, "digts", "Iteration")}),
-        (GROUPING, {(92, "pairs1", "MultiAction")}),
-        (CLOSURE, {(83, "edges", "Iteration"), (86, "tc", "MultiAction")}),
-        (RANK, {(92, "links", "Iteration")}),
-        (LIBRARY, set()),
-    ],
-)
-def test_known_advice(spark, statements, expected):
-    assert advised(program(spark, *statements)) == expected
+KNOWN = {
+    "logistic": (LOGISTIC, {(130, "points", "Iteration")}),
+    "clustering": (CLUSTERING, {(105, "digts", "Iteration")}),
+    "grouping": (GROUPING, {(92, "pairs1", "MultiAction")}),
+    "closure": (CLOSURE, {(83, "edges", "Iteration"), (86, "tc", "MultiAction")}),
+    "rank": (RANK, {(92, "links", "Iteration")}),
+    "library": (LIBRARY, set()),
+}
+
+
+def advised_by_job(spark, programs):
+    """Advice for several programs in one table, one job each."""
+    frames = [program(spark, *statements, job=job) for job, statements in programs.items()]
+    got = {job: set() for job in programs}
+    for r in advise(functools.reduce(lambda a, b: a.unionByName(b), frames)).collect():
+        got[r.job].add((r.line, r.name, r.kind))
+    return got
+
+
+def test_known_advice(spark):
+    got = advised_by_job(spark, {job: statements for job, (statements, _) in KNOWN.items()})
+    assert got == {job: expected for job, (_, expected) in KNOWN.items()}
 
 
 def test_known_patches(spark):
@@ -137,26 +147,27 @@ def test_loop_advice_without_semicolon_is_flagged(spark):
 LOOP = [(9, "def", "out", ["a"], 1), (10, "cover", "a", [], 0)]
 
 
-@pytest.mark.parametrize(
-    "before, loop_advice",
-    [
-        ([(1, "def", "a", [], 0)], True),
-        ([(1, "covered def", "a", [], 0)], False),
-        ([(1, "def", "a", [], 0), (2, "cover", "a", [], 0)], False),
-        ([(1, "def", "a", [], 0), (2, "cover", "a", [], 0), (3, "def", "a", [], 0)], True),
-        ([(1, "cover", "a", [], 0), (2, "def", "a", [], 0)], True),
-    ],
-)
-def test_covers_before_the_loop_count_and_later_ones_do_not(spark, before, loop_advice):
-    names = {name for _, name, kind in advised(program(spark, *before, *LOOP)) if kind == "Iteration"}
-    assert names == ({"a"} if loop_advice else set())
+BEFORE = {
+    "declared": ([(1, "def", "a", [], 0)], True),
+    "declared covered": ([(1, "covered def", "a", [], 0)], False),
+    "covered": ([(1, "def", "a", [], 0), (2, "cover", "a", [], 0)], False),
+    "declared again": ([(1, "def", "a", [], 0), (2, "cover", "a", [], 0), (3, "def", "a", [], 0)], True),
+    "covered too early": ([(1, "cover", "a", [], 0), (2, "def", "a", [], 0)], True),
+}
+
+
+def test_covers_before_the_loop_count_and_later_ones_do_not(spark):
+    got = advised_by_job(spark, {job: before + LOOP for job, (before, _) in BEFORE.items()})
+    assert {job: "a" in {name for _, name, _ in found} for job, found in got.items()} == {
+        job: loop_advice for job, (_, loop_advice) in BEFORE.items()
+    }
 
 
 def test_late_second_cover_hides_an_early_one(spark):
     used = [(1, "def", "a", [], 0), (2, "cover", "a", [], 0), (3, "action", "a", [], 0), (4, "action", "a", [], 0)]
-    assert advised(program(spark, *used)) == set()
     late = [*used, (5, "cover", "a", [], 0)]
-    assert advised(program(spark, *late)) == {(3, "a", "MultiAction")}
+    got = advised_by_job(spark, {"early": used, "late": late})
+    assert got == {"early": set(), "late": {(3, "a", "MultiAction")}}
 
 
 def test_action_on_an_undeclared_name_gives_no_advice(spark):

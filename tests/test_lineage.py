@@ -97,13 +97,12 @@ def results(events, limit):
     }
 
 
-@pytest.mark.parametrize("limit", [7, 60])
-def test_hot_jobs_give_the_same_results_in_blocks(events, limit):
-    whole, pieces = results(events, 1_000_000), results(events, limit)
+def test_hot_jobs_give_the_same_results_in_blocks(events):
+    whole, pieces = results(events, 1_000_000), results(events, 9)
     for name in whole:
+        expected = rows(whole[name])
         assert BLOCK not in pieces[name].columns
-        assert rows(pieces[name]) == rows(whole[name]), name
-        assert whole[name].count() > 0
+        assert expected and rows(pieces[name]) == expected, name
 
 
 def test_reachable_sinks_are_sinks_of_the_same_job(spark, events):
