@@ -19,22 +19,26 @@ def value_lists(
     value: Column,
     name: str,
     limit: int = HOT_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """All values of each key, ordered by the integer ``position``.
 
     A group of at most ``limit`` rows is one list. A larger one comes as several
     rows with ``chunk`` 0, 1, 2 ..., which joined in order are the whole list, so
-    no task ever holds more than a piece of it.
+    no task ever holds more than a piece of it. ``partitions`` sets how many tasks
+    do the grouping.
     """
     pieces = with_blocks(
         df.select(*keys, position.alias("_at"), value.alias("_value")), keys, F.col("_at"), limit
     )
-    chunk = F.coalesce(F.col(BLOCK), F.lit(0)) if BLOCK in pieces.columns else F.lit(0)
+    blocked = BLOCK in pieces.columns
+    if partitions:
+        pieces = pieces.repartition(partitions, *keys, *([BLOCK] if blocked else []))
+    chunk = F.coalesce(F.col(BLOCK), F.lit(0)) if blocked else F.lit(0)
     return (
-        pieces.withColumn(CHUNK, chunk.cast("long"))
-        .groupBy(*keys, CHUNK)
+        pieces.groupBy(*keys, *([BLOCK] if blocked else []))
         .agg(F.sort_array(F.collect_list(F.struct("_at", "_value"))).alias("_pairs"))
-        .select(*keys, CHUNK, F.col("_pairs._value").alias(name))
+        .select(*keys, chunk.cast("long").alias(CHUNK), F.col("_pairs._value").alias(name))
     )
 
 

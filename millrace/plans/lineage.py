@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.grouping import CHUNK, value_lists
-from millrace.operators.ordered import HOT_ROWS, Running, row_numbers, running, with_blocks
+from millrace.operators.ordered import BLOCK, HOT_ROWS, Running, row_numbers, running, with_blocks
 from millrace.plans.graph import closure
 from millrace.session import cut
 
@@ -33,15 +33,14 @@ def bindings(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
         .when(F.col("kind") == "use", F.array(slot("read", name)))
         .when(F.col("kind") == "action", F.concat(F.array(slot("receiver", name)), slots_of("argument")))
     )
-    rows = statements.select(
-        "job", "pos", "line", "kind", "call", F.explode(slots).alias("slot")
-    ).select(
-        "job", "pos", "line", "kind", "call", "slot.*",
-        (F.col("slot.role") == "version").cast("int").alias("_added"),
+    placed = with_blocks(statements, ["job"], F.col("pos"), limit)
+    kept = ["job", "pos", "line", "kind", "call", *[c for c in placed.columns if c == BLOCK]]
+    rows = placed.select(*kept, F.explode(slots).alias("slot")).select(
+        *kept, "slot.*", (F.col("slot.role") == "version").cast("int").alias("_added")
     )
     is_version = F.col("role") == "version"
     scanned = running(
-        with_blocks(rows, ["job", "name"], F.col("pos"), limit),
+        rows,
         ["job", "name"],
         ["pos", "_added"],
         _first=Running("min", F.when(is_version & (F.col("kind") == "def"), F.col("pos"))),
@@ -132,15 +131,13 @@ def version_runs(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     A version starts at -1 and adds one for each step in which the version before
     it sits on the same line.
     """
-    walked = repeat_expand(
-        statements.where(F.col("kind").isin("def", "write")).select(
-            "job", "scope", "depth", "pos", "line", "name", "kind"
-        )
-    ).drop("depth")
+    made = statements.where(F.col("kind").isin("def", "write")).select(
+        "job", "scope", "depth", "pos", "line", "name", "kind"
+    )
+    walked = repeat_expand(with_blocks(made, ["job"], F.col("scope"), limit)).drop("depth")
     keys, order = ["job", "name"], ["scope", "pass", "pos"]
-    placed = with_blocks(walked, keys, F.col("scope"), limit)
     scanned = running(
-        placed,
+        walked,
         keys,
         order,
         _known=Running("max", (F.col("kind") == "def").cast("int")),

@@ -60,7 +60,11 @@ def for_each_row(df: DataFrame, effect: Callable[[Row], None]) -> None:
 
 
 def for_each_batch(df: DataFrame, effect: Callable[[pa.RecordBatch], None]) -> None:
-    """Run ``effect`` over Arrow batches: the side effect without a Python object per row."""
+    """Run ``effect`` over Arrow batches: the side effect without a Python object per row.
+
+    Accumulators that ``effect`` adds to count each partition once, also when a
+    task has to run again, because the batches are consumed by the final stage.
+    """
 
     def consume(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

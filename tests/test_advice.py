@@ -1,7 +1,5 @@
 """Advice and patches on small programs whose right answers are known."""
 
-import functools
-
 from pyspark.sql import functions as F
 
 from millrace.plans import advice, patch
@@ -13,7 +11,7 @@ SCHEMA = (
 )
 
 
-def program(spark, *statements, job="j"):
+def program_rows(job, statements):
     """Statements ``(line, kind, name, inputs, depth)``; a new scope starts when the depth changes."""
     data, scope, last = [], 0, None
     for pos, (line, kind, name, inputs, depth) in enumerate(statements):
@@ -23,7 +21,11 @@ def program(spark, *statements, job="j"):
         covered = kind == "covered def"
         call = "count" if kind == "action" else None
         data.append((job, pos, line, kind.removeprefix("covered "), name, inputs, call, covered, scope, depth))
-    return spark.createDataFrame(data, SCHEMA)
+    return data
+
+
+def program(spark, *statements):
+    return spark.createDataFrame(program_rows("j", statements), SCHEMA)
 
 
 def advise(statements):
@@ -94,9 +96,9 @@ KNOWN = {
 
 def advised_by_job(spark, programs):
     """Advice for several programs in one table, one job each."""
-    frames = [program(spark, *statements, job=job) for job, statements in programs.items()]
+    data = [row for job, statements in programs.items() for row in program_rows(job, statements)]
     got = {job: set() for job in programs}
-    for r in advise(functools.reduce(lambda a, b: a.unionByName(b), frames)).collect():
+    for r in advise(spark.createDataFrame(data, SCHEMA)).collect():
         got[r.job].add((r.line, r.name, r.kind))
     return got
 

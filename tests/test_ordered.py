@@ -69,3 +69,10 @@ def test_value_lists_join_up_to_the_whole_list(spark):
     assert joined["hot"] == [i * i for i in range(900) if i % 3]
     assert joined[None] == [i * i for i in range(900) if i % 3 == 0]
     assert joined["cold"] == [5]
+
+
+def test_value_lists_take_a_number_of_tasks(spark):
+    df = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    lists = value_lists(df, ["k"], F.col("id"), F.col("id"), "ids", partitions=3)
+    assert lists.rdd.getNumPartitions() == 3
+    assert {r.k: len(r.ids) for r in lists.collect()} == {k: len(range(k, 100, 7)) for k in range(7)}
