@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,10 @@ def pagerank(pairs: DataFrame, rounds: int, hot_rows: int = HOT_ROWS) -> DataFra
     """
     spark = pairs.sparkSession
     distinct = cut(pairs.select("src", "dst").distinct(), "links")
+    # With fewer partitions than the session's setting the planner would shuffle both sides anew.
     width = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), distinct.count() // LINKS_PER_PARTITION
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        math.ceil(distinct.count() / LINKS_PER_PARTITION),
     )
     degrees = distinct.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).persist(
         StorageLevel.MEMORY_AND_DISK
