@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import dedup
+from millrace.llm import dedup, lengths, mixing, packing, pii
 from millrace.llm.streams import table
 
+#: A folder of public tokenizers; the files stay there.
+TOKENIZERS = "/opt/tokenizers"
+WORD_TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,3 +30,23 @@ def query(name: str, sql: str | None = None):
 @query("op6_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.length_table(lengths.histogram(table(spark, sf_dir, "documents"), WORD_TOKENIZER))
+
+
+@query("op7_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op8_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+@query("op10_source_mix")
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "mix.*")
