@@ -46,10 +46,10 @@ def pieces(starts: np.ndarray, limit: int):
         first = last
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, starts: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word, and the number of words up to each text (with the total as last entry)."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = ~_BLANK[data]
+    inside[1:-1] = ~blank[data]
     begins = inside[1:] & ~inside[:-1]
     ends = inside[:-1] & ~inside[1:]
     # A text boundary ends a word as a blank does.
@@ -80,6 +80,13 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[begin]) * _powers(len(data), _INVERSE)[begin] + (end - begin).astype(np.uint64))
 
 
+def sums_of_runs(flags: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """How many flags of each text are set."""
+    passed = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=passed[1:])
+    return passed[upto[1:]] - passed[upto[:-1]]
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

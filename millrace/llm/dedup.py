@@ -35,6 +35,8 @@ ROUGH = 0.55
 BUCKET_BLOCK = 4096
 GROUP_BLOCK = 512
 GROUP_SHINGLES = 2_000_000
+#: One megabyte.
+FILTER_BITS = 1 << 23
 
 _RANDOM = np.random.default_rng(20240607)
 _FACTORS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,19 +129,41 @@ def _rough_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key has others, numbered in blocks; holds one row of the row's bucket at most."""
+    last_key, last_node, passed = None, 0, 0
+    for batch in batches:
+        key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
+        if not len(key):
+            continue
+        edges = bounds(key)
+        length = np.diff(edges)
+        at = np.arange(len(key)) - np.repeat(edges[:-1], length)
+        total = length.copy()
+        waiting = None
+        if key[0] == last_key:
+            at[: length[0]] += passed
+            total[0] += passed
+            waiting = last_node if passed == 1 else None
+        keep = np.repeat(total > 1, length)
+        parts = [key[keep], node[keep], at[keep] // BUCKET_BLOCK]
+        if waiting is not None:
+            parts = [np.append(p, x) for p, x in zip(parts, (last_key, waiting, 0), strict=True)]
+        yield pa.record_batch({n: pa.array(p) for n, p in zip(("key", "node", "block"), parts, strict=True)})
+        last_key, last_node, passed = key[-1], node[-1], int(total[-1])
+
+
 def rough_links(nodes: DataFrame) -> DataFrame:
     """``a, b``: links that span, within every bucket of every table, what minhashes say is similar.
 
-    Buckets of one are dropped by a count that is summed up before its shuffle. A
-    bucket of more than a block is cut into blocks, and every two blocks meet.
+    Table keys are shuffled once, and those that one set alone has are dropped as
+    they stream by. A larger bucket is cut into blocks, and every two blocks meet.
     """
-    keys = nodes.mapInArrow(_table_keys, "key long, node long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(shared, "key").join(nodes.select("node", "sketch"), "node")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK)).withColumn(
-        "block", F.pmod(F.xxhash64("node"), "blocks")
-    )
-    cells = by_group(_meetings(rows, "key", "sketch"), "key", "i", "j")
+    keys = nodes.mapInArrow(_table_keys, "key long, node long").repartition("key").sortWithinPartitions("key")
+    shared = saved(keys.mapInArrow(_shared, "key long, node long, block long"))
+    blocks = shared.where("block > 0").groupBy("key").agg((F.max("block") + 1).alias("blocks"))
+    rows = shared.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    cells = by_group(_meetings(rows, "key").join(nodes.select("node", "sketch"), "node"), "key", "i", "j", least=("node",))
     return cells.select("cell", "node", "sketch").mapInArrow(_rough_links, "a long, b long").distinct()
 
 
@@ -198,9 +222,33 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _checked(cells: DataFrame, docs: DataFrame) -> DataFrame:
+def _members_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of all rows whose id is in ``ids`` and a few others, before they are shuffled.
+
+    The ids set bits in one array of a fixed ``FILTER_BITS`` bits, whatever their
+    number; the more there are, the fewer other rows it holds back.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.groupBy(F.shiftright(bit, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 as int))")).alias("bits")
+    )
+    array = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in words.toLocalIterator():
+        array[row.word] = row.bits
+    sent = docs.sparkSession.sparkContext.broadcast(array)
+
+    def known(batches):
+        for batch in batches:
+            at = batch["bit"].to_numpy()
+            hit = (sent.value[at >> 6] >> (at & 63)) & 1
+            yield batch.filter(pa.array(hit == 1)).select(["doc_id", "text"])
+
+    return docs.where("doc_id is not null").withColumn("bit", bit).mapInArrow(known, "doc_id long, text string")
+
+
+def _checked(cells: DataFrame, texts: DataFrame) -> DataFrame:
     """``cells(node, doc_id, group, i, j)``: links on full sets within each ``(group, i, j)``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = by_group(cells.join(texts, "doc_id").select("group", "i", "j", "node", "text"), "group", "i", "j")
     return rows.select("cell", "node", "text").mapInArrow(_verified, "a long, b long").distinct()
 
@@ -222,7 +270,8 @@ def full_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFram
         "node", "doc_id", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i")
     )
     within = members.select("node", "doc_id", "group", F.col("block").alias("i")).union(first).distinct()
-    links = saved(_checked(within.withColumn("j", F.col("i")), docs))
+    texts = _members_only(docs, members)
+    links = saved(_checked(within.withColumn("j", F.col("i")), texts))
     large = members.where("blocks > 1")
     if large.isEmpty():
         return links
@@ -235,7 +284,7 @@ def full_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFram
     count = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
     left = rows.where("rest").select("node", "doc_id", "group", F.col("part").alias("i"), count("blocks").alias("j"))
     right = rows.select("node", "doc_id", "group", count("rest_blocks").alias("i"), F.col("block").alias("j"))
-    return links.union(_checked(left.union(right).distinct(), docs))
+    return links.union(_checked(left.union(right).distinct(), texts))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

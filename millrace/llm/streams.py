@@ -24,12 +24,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def by_group(df: DataFrame, *key: str) -> DataFrame:
-    """Rows of a key side by side: dealt and sorted by ``cell``, a 64-bit hash of the key.
+def by_group(df: DataFrame, *key: str, least: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a key side by side: dealt and sorted by ``cell``, a 64-bit hash of the key, then by ``least``.
 
     Two keys that share a hash are walked as one group; the walkers allow for that.
     """
-    return df.withColumn("cell", F.xxhash64(*key)).repartition("cell").sortWithinPartitions("cell")
+    return df.withColumn("cell", F.xxhash64(*key)).repartition("cell").sortWithinPartitions("cell", *least)
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str = "cell") -> Iterator[pa.Table]:
