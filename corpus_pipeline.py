@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import dedup
+from millrace.llm import dedup, language, mixing, packing, pii
+from millrace.llm.queries import WORD_TOKENIZER
 from millrace.llm.streams import table
 from millrace.session import shared_path
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language, with the one found for them; texts without a letter go."""
+    return language.accepted(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return dedup.deduplicated(docs)
 
 
-STAGES = [("near duplicates", near_duplicates)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with personal data replaced."""
+    return pii.redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for; the last of a source in part."""
+    return mixing.sampled(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequence and place of each piece of the mix."""
+    return packing.pack(docs, WORD_TOKENIZER)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Stages compute hashes, sketches and tokens that SQL has no functions for; tests hold run() against plain Python.
+#: Hashes of sketches, learned models and a tokenizer have no SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
@@ -26,7 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = shared_path(spark, f"pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}")
+        path = shared_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
