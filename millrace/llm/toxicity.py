@@ -25,9 +25,15 @@ WIDTH = 8
 HIDDEN = 8
 #: About this many labelled texts of either class are read to fit, chosen by a hash; all if there are fewer.
 SAMPLE = {1: 700, 0: 2000}
-EPOCHS = (7, 4)
+#: Batches at least, rounds over the chosen windows at least, and whether the vectors move. Windows are chosen anew after
+#: each phase. Vectors move for a few rounds only, so that on few texts they stay near the evidence they begin with.
+PHASES = ((64, 1, False), (1, 5, True), (1, 3, True))
 BATCH = 256
 SEED = 5
+#: What fewer texts of the sample have keeps a zero vector, as has what none has.
+LEAST = 3
+#: Log-likelihood ratio that counts as 1 in the vectors' first component at the start.
+UNIT = 10.0
 RUN_BYTES = 1 << 20
 
 
@@ -65,8 +71,8 @@ class ToxicityModel:
     def __init__(self):
         self.network = Network(2 * WIDTH, HIDDEN, SEED)
         rng = np.random.default_rng(SEED)
-        self.network.p["words"] = (0.1 * rng.standard_normal((WORDS, WIDTH))).astype(np.float32)
-        self.network.p["trigrams"] = (0.1 * rng.standard_normal((TRIGRAMS, WIDTH))).astype(np.float32)
+        self.network.p["words"] = (0.02 * rng.standard_normal((WORDS, WIDTH))).astype(np.float32)
+        self.network.p["trigrams"] = (0.02 * rng.standard_normal((TRIGRAMS, WIDTH))).astype(np.float32)
         self.scale, self.empty = (1.0, 0.0), 0.0
 
     def vectors(self, found: Words, which: np.ndarray | None = None) -> np.ndarray:
@@ -110,19 +116,24 @@ class ToxicityModel:
             self.scale = (0.0, float(np.log((label.sum() + 1) / (len(label) - label.sum() + 1))))
             return self
         rng, p = np.random.default_rng(SEED), self.network.p
-        odds = self._log_odds(found, label)
-        p["words"][:, 0], p["trigrams"][:, 0] = odds
+        evidence = dict(zip(("words", "trigrams"), self._evidence(found, label), strict=True))
+        for name, (ratio, known) in evidence.items():
+            p[name][:, 0] = ratio
+            p[name] *= known[:, None]
+        self.known = {name: known[:, None] for name, (_, known) in evidence.items()}
         guess = self.vectors(found)
         guess = np.append(np.maximum(guess[:, 0], guess[:, WIDTH]), -9)  # the last is padding's
         rating = np.sort(guess[tokens], axis=1)[:, -3:].sum(axis=1)
         adam = Adam(p, 0.01)
-        for epochs in EPOCHS:
-            for _ in range(epochs):
-                chosen = self._choose(rating, text, label, rng)
-                rng.shuffle(chosen)
-                for first in range(0, len(chosen), BATCH):
-                    part = chosen[first : first + BATCH]
-                    self._learn(adam, found, tokens[part], label[text[part]])
+        for steps, rounds, moving in PHASES:
+            done = 0
+            while done < steps or rounds > 0:
+                chosen = rng.permutation(self._choose(rating, text, label, rng))
+                for k in range(0, len(chosen), BATCH):
+                    part = chosen[k : k + BATCH]
+                    self._learn(adam, found, tokens[part], label[text[part]], moving)
+                    done += 1
+                rounds -= 1
             gates = self.network.projected(self.vectors(found))
             rating = np.concatenate([self.network.forward(gates, tokens[k : k + 4096]) for k in range(0, len(tokens), 4096)])
         best = np.full(len(texts), -np.inf)
@@ -133,8 +144,8 @@ class ToxicityModel:
         return self
 
     @staticmethod
-    def _log_odds(found: Words, label: np.ndarray) -> list[np.ndarray]:
-        """For words and trigrams: log of the share of toxic texts against the share of clean texts that have it."""
+    def _evidence(found: Words, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For words and trigrams: how surely toxic texts have one more often (log-likelihood ratio), and if enough texts have it."""
         text = np.repeat(np.arange(len(found.upto) - 1), np.diff(found.upto))
         pair = np.unique(text * np.int64(len(found.word)) + found.token)
         text, token = pair // len(found.word), pair % len(found.word)
@@ -147,10 +158,12 @@ class ToxicityModel:
             at = np.repeat(starts[token] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             seen = np.unique(np.repeat(text, n) * np.int64(size) + ids[at])
             toxic = label[seen // size] > 0
-            one = np.bincount(seen[toxic] % size, minlength=size) + 0.5
-            zero = np.bincount(seen[~toxic] % size, minlength=size) + 0.5
-            ratio = np.log(one / (label.sum() + 1)) - np.log(zero / (len(label) - label.sum() + 1))
-            out.append(np.clip(ratio, -2, 4).astype(np.float32))
+            one, zero = np.bincount(seen[toxic] % size, minlength=size), np.bincount(seen[~toxic] % size, minlength=size)
+            share = label.mean()
+            n = np.maximum(one + zero, 1)
+            surprise = one * np.log(np.maximum(one, 1) / n / share) + zero * np.log(np.maximum(zero, 1) / n / (1 - share))
+            signed = np.where(one > share * n, surprise, -surprise) / UNIT
+            out.append((np.clip(signed, -1, 4).astype(np.float32), one + zero >= LEAST))
         return out
 
     @staticmethod
@@ -160,8 +173,8 @@ class ToxicityModel:
         clean = np.flatnonzero(label[text] == 0)
         return np.unique(np.concatenate([first, rng.choice(clean, min(len(clean), int(label.sum())), replace=False)]))
 
-    def _learn(self, adam: Adam, found: Words, tokens: np.ndarray, label: np.ndarray) -> None:
-        """One step on some windows; only their words' vectors are computed."""
+    def _learn(self, adam: Adam, found: Words, tokens: np.ndarray, label: np.ndarray, moving: bool) -> None:
+        """One step on some windows; only their words' vectors are computed, and moved only if ``moving``."""
         p = self.network.p
         used = np.unique(tokens[tokens >= 0])
         place = np.where(tokens >= 0, np.searchsorted(used, tokens), -1)
@@ -181,9 +194,14 @@ class ToxicityModel:
             np.add.at(summed, flat, d[live])
             grads[f"w{way}"] = vectors.T @ summed
             d_vectors += summed @ p[f"w{way}"].T
+        if not moving:  # the network first learns to read the evidence that the vectors begin with
+            adam.step(grads)
+            return
         grads["words"], grads["trigrams"] = np.zeros_like(p["words"]), np.zeros_like(p["trigrams"])
         np.add.at(grads["words"], found.word[used], d_vectors[:, :WIDTH])
         np.add.at(grads["trigrams"], ids, (d_vectors[:, WIDTH:] / length[:, None])[owner])
+        for name, known in self.known.items():
+            grads[name] *= known
         adam.step(grads)
 
     @staticmethod
