@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.streams import saved
 from millrace.llm.tokens import WordEncoder
 
 #: Lengths of one block of the suffix sums.
@@ -24,7 +25,8 @@ def histogram(docs: DataFrame, tokenizer: str, end: int | None = None) -> DataFr
             yield pa.record_batch({"length": pa.array(lengths.astype(np.int64)), "docs": pa.array(n.astype(np.int64))})
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(counts, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    counted = texts.mapInArrow(counts, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    return saved(counted)  # it is small and read more than once
 
 
 def length_table(histogram: DataFrame) -> DataFrame:
