@@ -16,12 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lets Spark delete a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so that lost executors don't cost it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept in the shared checkpoint folder, so that lost executors don't cost it.
+
+    Nothing reads the shuffle files behind it again, so they go at once.
+    """
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(shared_dir(session))
+    before = session.conf.get(CLEAN_UP, "false")
+    session.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        session.conf.set(CLEAN_UP, before)
 
 
 def by_group(df: DataFrame, *key: str, least: tuple[str, ...] = ()) -> DataFrame:
