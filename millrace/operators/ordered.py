@@ -76,7 +76,7 @@ def running(
 ) -> DataFrame:
     """Add one running value per keyword to ``df``, as returned by ``with_blocks``.
 
-    Keys must not be null. The scan and the carry share one shuffle by keys and block.
+    A null key is a group like any other. The scan and the carry share one shuffle by keys and block.
     """
     pieces = [*keys, BLOCK] if BLOCK in df.columns else list(keys)
     scan = Window.partitionBy(*pieces).orderBy(*order)
@@ -98,7 +98,7 @@ def running(
         .groupBy(*pieces)
         .agg(*[_total(run, order).alias(f"_total_{name}") for name, run in values.items()])
         .select(
-            *pieces,
+            *[F.col(piece).alias(f"_carry_of_{piece}") for piece in pieces],
             *[
                 _over_rows(run.kind, F.col(f"_total_{name}"))
                 .over(earlier_blocks)
@@ -108,7 +108,8 @@ def running(
         )
     )
     scanned = df.withColumns({f"_local_{name}": column for name, column in local.items()})
-    return scanned.join(carry, pieces, "left").select(
+    same_piece = [scanned[piece].eqNullSafe(carry[f"_carry_of_{piece}"]) for piece in pieces]
+    return scanned.join(carry, same_piece, "left").select(
         *[F.col(c) for c in df.columns],
         *[
             _finish(run.kind, _combine(run.kind, F.col(f"_local_{name}"), F.col(f"_carry_{name}"))).alias(name)

@@ -19,7 +19,7 @@ Centers = Sequence[Sequence[float]]
 
 
 def nearest(vector: Column, centers: Centers) -> Column:
-    """Number (from 1) and squared distance of the nearest centre; the lower number wins ties.
+    """Number (from 1) and squared distance of the nearest centre; the lower number wins ties; both null for a null vector.
 
     A distance stops at the shorter vector. The centres travel with the function:
     they are the k x d numbers of the model, which the driver holds anyway. Array
@@ -31,8 +31,8 @@ def nearest(vector: Column, centers: Centers) -> Column:
     def closest(vectors: pd.Series) -> pd.DataFrame:
         best = np.zeros(len(vectors), dtype="int32")
         distance = np.zeros(len(vectors))
-        lengths = vectors.map(len).to_numpy()
-        for length in np.unique(lengths):
+        lengths = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
+        for length in np.unique(lengths[lengths >= 0]):
             rows = np.flatnonzero(lengths == length)
             points = np.stack(vectors.iloc[rows].to_numpy())
             squares = np.empty((len(rows), len(fixed)))
@@ -41,7 +41,9 @@ def nearest(vector: Column, centers: Centers) -> Column:
                 squares[:, i] = ((points[:, :shared] - center[:shared]) ** 2).sum(axis=1)
             best[rows] = squares.argmin(axis=1) + 1
             distance[rows] = squares.min(axis=1)
-        return pd.DataFrame({"center": best, "distance": distance})
+        found = pd.DataFrame({"center": pd.array(best, dtype="Int32"), "distance": pd.array(distance, dtype="Float64")})
+        found.loc[lengths < 0] = pd.NA
+        return found
 
     return closest(vector)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.sampling import bucket
-from millrace.functions.text import ACCESS_LOG, LOG_FIELDS, is_log_line, log_field, split_space, split_whitespace
+from millrace.functions.text import ACCESS_LOG, LOG_FIELDS, log_parts, split_space, split_whitespace
 from millrace.functions.vectors import dot, format_vector, parse_labelled, parse_vector, squared_distance
 from millrace.operators import grouping, relational
 from millrace.operators.actions import count_rows
@@ -267,10 +267,10 @@ def parse_labelled_query(spark, sf_dir):
     + f", regexp_matches(value, {LOG_REGEX}) AS matched FROM lines",
 )
 def log_fields(spark, sf_dir):
-    line = F.col("value")
-    return log_lines(spark, sf_dir).select(
-        *[log_field(line, name).alias(name) for name in LOG_FIELDS], is_log_line(line).alias("matched")
-    )
+    rows = log_lines(spark, sf_dir).withColumn("parts", log_parts(F.col("value"), *LOG_FIELDS))
+    rows = rows.select((F.col("parts") != F.col("value")).alias("matched"), F.split("parts", "\n").alias("parts"))
+    fields = [F.when(F.col("matched"), F.col("parts")[i]).otherwise("").alias(name) for i, name in enumerate(LOG_FIELDS)]
+    return rows.select(*fields, "matched")
 
 
 NATION_EDGES = """edges AS (

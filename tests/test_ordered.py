@@ -76,3 +76,10 @@ def test_value_lists_take_a_number_of_tasks(spark):
     lists = value_lists(df, ["k"], F.col("id"), F.col("id"), "ids", partitions=3)
     assert lists.rdd.getNumPartitions() == 3
     assert {r.k: len(r.ids) for r in lists.collect()} == {k: len(range(k, 100, 7)) for k in range(7)}
+
+
+def test_null_key_is_a_group_with_and_without_blocks(spark):
+    df = spark.createDataFrame([(None if k % 2 else "a", k) for k in range(40)], "k string, at long")
+    plain = row_numbers(df, ["k"], ["at"], "n")
+    blocks = row_numbers(with_blocks(df, ["k"], F.col("at"), limit=5), ["k"], ["at"], "n")
+    assert rows(blocks.select("k", "at", "n")) == rows(plain)

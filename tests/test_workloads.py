@@ -155,3 +155,11 @@ def test_salted_join_equals_plain_join(spark):
     assert left.where("k = 0").select("salt").distinct().count() == 10
     got = relational.inner_join(left, right, ["k", "salt"]).drop("salt")
     assert rows(got) == rows(large.join(small, "k"))
+
+
+def test_nearest_of_a_null_vector_is_null(spark):
+    from millrace.plans.clustering import nearest
+
+    df = spark.createDataFrame([(1, None), (2, [0.0, 1.0])], "id long, x array<double>")
+    found = {r.id: r.n for r in df.withColumn("n", nearest(df.x, [[5.0, 5.0], [0.0, 0.0]])).collect()}
+    assert (found[1].center, found[1].distance) == (None, None) and (found[2].center, found[2].distance) == (2, 1.0)
