@@ -13,10 +13,11 @@ def parse_vector(text: Column) -> Column:
     return F.transform(F.split(text, " "), lambda token: token.cast("double"))
 
 
-def parse_labelled(text: Column, dims: int) -> tuple[Column, Column]:
-    """``label x0 x1 ...`` to the label and the first ``dims`` values."""
+def parse_labelled(text: Column, dims: int | None = None) -> tuple[Column, Column]:
+    """``label x0 x1 ...`` to the label and the first ``dims`` values, all of them by default."""
     numbers = parse_vector(text)
-    return F.get(numbers, F.lit(0)), F.slice(numbers, 2, dims)
+    length = F.size(numbers) - 1 if dims is None else F.lit(dims)
+    return F.get(numbers, F.lit(0)), F.slice(numbers, F.lit(2), length)
 
 
 def format_vector(vector: Column) -> Column:

@@ -43,6 +43,7 @@ def take_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
 
 
 def approx_distinct(df: DataFrame, column: str, error: float = 0.05) -> DataFrame:
+    """Estimated number of distinct values, ``error`` being its relative standard deviation."""
     return df.agg(F.approx_count_distinct(column, error).alias("n_distinct"))
 
 

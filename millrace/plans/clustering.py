@@ -70,18 +70,20 @@ def lloyd(
     points = points.select("id", "x").persist(StorageLevel.MEMORY_AND_DISK)
     current = [list(c) for c in centers or seed_centers(points, k, seed)]
     shift, rounds = 1.0, 0
-    while shift > converge and (max_rounds is None or rounds < max_rounds):
-        assigned = points.select(nearest(F.col("x"), current)["center"].alias("center"), "x")
-        moved: dict[int, dict[int, float]] = {}
-        for row in vector_means(assigned, ["center"], "x").collect():
-            moved.setdefault(row.center, {})[row.dim] = row["mean"]
-        shift = 0.0
-        for number, means in moved.items():
-            new = [means[dim] for dim in sorted(means)]
-            shift += sum((a - b) ** 2 for a, b in zip(current[number - 1], new))
-            current[number - 1] = new
-        rounds += 1
-    points.unpersist()
+    try:
+        while shift > converge and (max_rounds is None or rounds < max_rounds):
+            assigned = points.select(nearest(F.col("x"), current)["center"].alias("center"), "x")
+            moved: dict[int, dict[int, float]] = {}
+            for row in vector_means(assigned.where("center IS NOT NULL"), ["center"], "x").collect():
+                moved.setdefault(row.center, {})[row.dim] = row["mean"]
+            shift = 0.0
+            for number, means in moved.items():
+                new = [means[dim] for dim in sorted(means)]
+                shift += sum((a - b) ** 2 for a, b in zip(current[number - 1], new))
+                current[number - 1] = new
+            rounds += 1
+    finally:
+        points.unpersist()
     return current
 
 
@@ -92,6 +94,23 @@ def squared_error(points: DataFrame, centers: Centers) -> DataFrame:
     )
 
 
+def features(points: DataFrame) -> DataFrame:
+    """``points(x)`` as the library's vectors; nulls have none."""
+    return points.where(F.col("x").isNotNull()).select("x", array_to_vector("x").alias("features"))
+
+
 def library_kmeans(points: DataFrame, k: int = 2, rounds: int = 20, seed: int = 42) -> KMeansModel:
-    features = points.select(array_to_vector("x").alias("features"))
-    return KMeans(k=k, maxIter=rounds, seed=seed).fit(features)
+    return KMeans(k=k, maxIter=rounds, seed=seed).fit(features(points))
+
+
+def centers_off_means(points: DataFrame, model: KMeansModel) -> DataFrame:
+    """Per centre: its dimensions and its squared distance to the mean of the points it is nearest to."""
+    numbered = [(i, d, float(v)) for i, c in enumerate(model.clusterCenters()) for d, v in enumerate(c)]
+    centers = points.sparkSession.createDataFrame(numbered, "center int, dim int, at double")
+    means = vector_means(
+        model.transform(features(points)).withColumnRenamed("prediction", "center"), ["center"], "x"
+    )
+    return centers.join(means, ["center", "dim"], "left").groupBy("center").agg(
+        F.count("dim").cast("int").alias("dims"),
+        F.sum((F.col("at") - F.col("mean")) ** 2).alias("off"),
+    )

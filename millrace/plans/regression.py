@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-# Dimensions, and the 48-bit linear congruence behind the first weights.
-DIMS = 10
+from millrace.functions.vectors import dot, literal_vector
+
+# The 48-bit linear congruence behind the first weights.
 MULTIPLIER = 25214903917
 INCREMENT = 11
 MODULUS = 1 << 48
 
 
-def first_weights(seed: int = 42, dims: int = DIMS) -> list[float]:
+def first_weights(dims: int, seed: int = 42) -> list[float]:
     """Uniform weights in [-1, 1), from the standard 48-bit congruential generator."""
     state = (seed ^ MULTIPLIER) % MODULUS
 
@@ -27,23 +28,32 @@ def first_weights(seed: int = 42, dims: int = DIMS) -> list[float]:
     return [2 * (((bits(26) << 27) + bits(27)) / (1 << 53)) - 1 for _ in range(dims)]
 
 
+def dimensions(points: DataFrame) -> int:
+    """Length of the longest vector of ``points(x)``; 0 without vectors."""
+    return max(points.agg(F.max(F.size("x"))).first()[0] or 0, 0)
+
+
 def logistic_weights(points: DataFrame, weights: Sequence[float], rounds: int) -> list[float]:
     """Weights after ``rounds`` steps over ``points(y, x)`` with labels of +1 and -1.
 
     The step is 1, with no intercept and no penalty. A round is one aggregation
     with a sum per dimension, so each task sends back one row.
     """
+    if not weights:
+        return []
     points = points.select("y", "x").persist(StorageLevel.MEMORY_AND_DISK)
     w = list(weights)
     x = [F.get("x", F.lit(i)) for i in range(len(w))]
-    for _ in range(rounds):
-        margin = sum((F.lit(w[i]) * x[i] for i in range(len(w))), F.lit(0.0))
-        pull = (1 / (1 + F.exp(-F.col("y") * margin)) - 1) * F.col("y")
-        gradient = (
-            points.withColumn("pull", pull)
-            .agg(*[F.sum(F.col("pull") * x[i]).alias(f"g{i}") for i in range(len(w))])
-            .first()
-        )
-        w = [value - gradient[i] for i, value in enumerate(w)]
-    points.unpersist()
+    try:
+        for _ in range(rounds):
+            margin = dot(F.col("x"), literal_vector(w))
+            pull = (1 / (1 + F.exp(-F.col("y") * margin)) - 1) * F.col("y")
+            gradient = (
+                points.withColumn("pull", pull)
+                .agg(*[F.coalesce(F.sum(F.col("pull") * x[i]), F.lit(0.0)).alias(f"g{i}") for i in range(len(w))])
+                .first()
+            )
+            w = [value - gradient[i] for i, value in enumerate(w)]
+    finally:
+        points.unpersist()
     return w

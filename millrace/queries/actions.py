@@ -46,9 +46,17 @@ def count_sampled(spark, sf_dir):
     return _rounded(actions.count_approx(table(spark, sf_dir, "orders"), "o_orderkey"))
 
 
-@query("approx_distinct")
+@query(
+    "approx_distinct",
+    "SELECT count(DISTINCT l_partkey) AS n_distinct, true AS close FROM lineitem",
+)
 def approx_distinct(spark, sf_dir):
-    return actions.approx_distinct(table(spark, sf_dir, "lineitem"), "l_partkey")
+    """The exact number, and whether the estimate lies within three standard deviations of it."""
+    lines = table(spark, sf_dir, "lineitem")
+    exact = lines.agg(F.count_distinct("l_partkey").alias("exact"))
+    estimate = actions.approx_distinct(lines, "l_partkey", error=0.05)
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= 3 * 0.05 * F.col("exact")
+    return estimate.join(exact).select(F.col("exact").alias("n_distinct"), close.alias("close"))
 
 
 @query("count_by_key", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")

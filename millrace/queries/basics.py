@@ -110,15 +110,16 @@ def columnar_roundtrip(spark, sf_dir):
     return files.read_columns(spark, path, orders.schema)
 
 
-@query("kmeans_model_roundtrip")
+@query("kmeans_model_roundtrip", "SELECT count(*) AS agreed FROM embeddings WHERE embedding IS NOT NULL")
 def kmeans_model_roundtrip(spark, sf_dir):
+    """Vectors that the model and its reloaded copy put to the same centre."""
+    points = vectors(spark, sf_dir)
+    model = clustering.library_kmeans(points)
     path = shared_path(spark, "kmeans-model")
-    files.save_model(clustering.library_kmeans(vectors(spark, sf_dir)), path)
-    centers = files.load_model(path).clusterCenters()
-    return spark.createDataFrame(
-        [(i, d, float(v)) for i, c in enumerate(centers) for d, v in enumerate(c)],
-        "center int, dim int, value double",
-    )
+    files.save_model(model, path)
+    both = model.transform(clustering.features(points)).withColumnRenamed("prediction", "before")
+    both = files.load_model(path).transform(both)
+    return both.where(F.col("before") == F.col("prediction")).agg(F.count(F.lit(1)).alias("agreed"))
 
 
 @query("partition_sink", "SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem")
@@ -209,13 +210,13 @@ def split_space_query(spark, sf_dir):
 
 @query(
     "split_ws",
-    """SELECT doc_id, regexp_split_to_array(text, '\\s+')[1] AS first_word,
-           regexp_split_to_array(text, '\\s+')[2] AS second_word FROM documents""",
+    """SELECT doc_id, CAST(len(regexp_split_to_array(text, '\\s+')) AS INTEGER) AS n,
+           array_to_string(regexp_split_to_array(text, '\\s+'), '|') AS tokens FROM documents""",
 )
 def split_ws(spark, sf_dir):
     fields = split_whitespace(F.col("text"))
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.get(fields, F.lit(0)).alias("first_word"), F.get(fields, F.lit(1)).alias("second_word")
+        "doc_id", F.size(fields).alias("n"), F.array_join(fields, "|").alias("tokens")
     )
 
 
@@ -248,15 +249,16 @@ def parse_vector_query(spark, sf_dir):
 
 @query(
     "parse_labelled",
-    f"""WITH {VECTORS} SELECT id, CAST(label AS DOUBLE) AS y, CAST(10 AS INTEGER) AS dims,
-        x[1] AS head, x[10] AS tail FROM vectors""",
+    f"""WITH {VECTORS} SELECT id, CAST(label AS DOUBLE) AS y, CAST(len(x) AS INTEGER) AS dims,
+        x[1] AS head, x[len(x)] AS tail, round(list_sum(x), 6) AS total FROM vectors""",
 )
 def parse_labelled_query(spark, sf_dir):
     text = F.concat_ws(" ", F.col("label").cast("string"), format_vector(F.col("x")))
-    y, x = parse_labelled(F.col("text"), 10)
+    y, x = parse_labelled(F.col("text"))
+    total = F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     return vectors(spark, sf_dir).select("id", text.alias("text")).select(
         "id", y.alias("y"), F.size(x).alias("dims"), F.get(x, F.lit(0)).alias("head"),
-        F.element_at(x, -1).alias("tail"),
+        F.element_at(x, -1).alias("tail"), F.round(total, 6).alias("total"),
     )
 
 

@@ -99,9 +99,9 @@ def test_squared_error(spark):
 
 
 def test_first_weights_lie_in_range_and_repeat():
-    weights = regression.first_weights()
+    weights = regression.first_weights(10)
     assert len(weights) == 10 and all(-1 <= w < 1 for w in weights)
-    assert weights == regression.first_weights()
+    assert weights == regression.first_weights(10)
     assert math.isclose((weights[0] + 1) / 2, 0.7275636800328681)
 
 
