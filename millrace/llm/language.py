@@ -23,6 +23,9 @@ SAMPLE = 1500
 LEAST = 3
 RATIO = 0.3
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are in memory at a time, and n-grams a fitting task counts before it passes them on.
+RUN_BYTES = 1 << 18
+HELD_GRAMS = 1 << 21
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -54,12 +57,22 @@ def _slots(value: np.ndarray, k: int) -> np.ndarray:
     return (mix(value + np.uint64(k + 1)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _texts(batch: pa.RecordBatch, limit: int):
-    data, starts = text_bytes(batch["letters"])
-    for first, last in pieces(starts, limit):
+def _texts(texts: pa.Array):
+    data, starts = text_bytes(texts)
+    for first, last in pieces(starts, RUN_BYTES):
         yield first, last, data[starts[first] : starts[last]], starts[first : last + 1] - starts[first]
 
 
+def _gram_runs(data: np.ndarray, starts: np.ndarray, n: int):
+    """What ``_gram_hashes`` gives, in several runs where one text is longer than RUN_BYTES."""
+    if len(starts) > 2 or len(data) <= RUN_BYTES:
+        yield _gram_hashes(data, starts, n)
+        return
+    for begin in range(0, len(data) - n + 1, RUN_BYTES):
+        part = data[begin : begin + RUN_BYTES + n - 1]
+        yield _gram_hashes(part, np.array([0, len(part)]), n)
+
+
 class LanguageFilter:
     """Languages, their bits, and the slots."""
 
@@ -84,20 +97,32 @@ class LanguageFilter:
         sample = labelled.where(u < share)
 
         def grams(batches):
-            for batch in batches:
-                lang = np.array([index[x] for x in batch["lang"].to_pylist()], np.int64)
-                found: dict[int, list[np.ndarray]] = {}
-                for first, _, data, starts in _texts(batch, 1 << 20):
-                    for n in GRAMS:
-                        value, upto = distinct(*_gram_hashes(data, starts, n))
-                        for k in range(len(starts) - 1):
-                            found.setdefault(int(lang[first + k]), []).append(value[upto[k] : upto[k + 1]])
+            def counted_grams():
                 for k, values in found.items():
                     gram, n = np.unique(np.concatenate(values), return_counts=True)
                     yield pa.record_batch(
                         {"lang": pa.array(np.full(len(gram), k, np.int32)), "gram": pa.array(gram.view(np.int64)), "n": pa.array(n)}
                     )
 
+            found: dict[int, list[np.ndarray]] = {}
+            held = 0
+            for batch in batches:
+                lang = np.array([index[x] for x in batch["lang"].to_pylist()], np.int64)
+                for first, _, data, starts in _texts(batch["letters"]):
+                    for n in GRAMS:
+                        runs = [distinct(*run) for run in _gram_runs(data, starts, n)]
+                        if len(runs) > 1:  # of one long text
+                            value = np.unique(np.concatenate([run[0] for run in runs]))
+                            runs = [(value, np.array([0, len(value)]))]
+                        for value, upto in runs:
+                            held += len(value)
+                            for k in range(len(starts) - 1):
+                                found.setdefault(int(lang[first + k]), []).append(value[upto[k] : upto[k + 1]])
+                    if held > HELD_GRAMS:
+                        yield from counted_grams()
+                        found, held = {}, 0
+            yield from counted_grams()
+
         counts = sample.select("letters", "lang").mapInArrow(grams, "lang int, gram long, n long")
         counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min(LEAST, max(counted.values(), default=1)))
         size = F.element_at(F.array(*[F.lit(float(min(SAMPLE, counted[x]))) for x in languages]), F.col("lang") + 1)
@@ -128,8 +153,7 @@ class LanguageFilter:
         count, texts = len(self.languages), len(starts) - 1
         hits, total = np.zeros((texts, count)), np.zeros(texts)
         every = [np.uint64((1 << min(64, count - 64 * w)) - 1) for w in range(len(self.slots))]
-        for n in GRAMS:
-            value, upto = _gram_hashes(data, starts, n)
+        for value, upto in (run for n in GRAMS for run in _gram_runs(data, starts, n)):
             at = [_slots(value, k) for k in range(HASHES)]
             masks = []
             for word in self.slots:
@@ -171,14 +195,11 @@ def identified(docs: DataFrame) -> DataFrame:
         return docs.withColumn("lang_id", result)
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def predict(texts):
-        import pandas as pd
-
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def predict(texts: pa.Array) -> pa.Array:
         model = sent.value
-        batch = pa.record_batch({"letters": pa.Array.from_pandas(texts, type=pa.string())})
         names, scores = [], []
-        for first, last, data, starts in _texts(batch, 2 << 20):
+        for _, _, data, starts in _texts(texts):
             share = model.shares(data, starts)
             best = share.argmax(axis=1)
             sharp = share**4
@@ -186,7 +207,7 @@ def identified(docs: DataFrame) -> DataFrame:
             empty = np.diff(starts) == 0
             names += [UNKNOWN if e else model.languages[b] for b, e in zip(best.tolist(), empty.tolist(), strict=True)]
             scores += np.where(empty, 0.0, np.clip(score, 0, 1)).tolist()
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     rows = docs.withColumn("lang_id", predict(letters(text)))
     result = F.struct(held.alias("held_out"), F.col("lang_id.lang_pred"), F.col("lang_id.score"))
