@@ -123,7 +123,7 @@ def distinct(values: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values[keep], passed[upto]
 
 
-def shingle_sets(texts: pa.Array, width: int = 5, limit: int = 4 << 20):
+def shingle_sets(texts: pa.Array, width: int = 5, limit: int = 1 << 19):
     """Per run of texts: number of the first text, distinct shingle hashes, and the number of them up to each text."""
     data, starts = text_bytes(texts)
     for first, last in pieces(starts, limit):
