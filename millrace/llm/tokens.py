@@ -12,11 +12,12 @@ import pyarrow.compute as pc
 
 from millrace.llm.buffers import pieces, text_bytes
 
-#: Words whose ids a worker remembers; beyond that it starts anew.
+#: Words and parts of words whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 500_000
 #: A word and marks after it, which the tokenizer's pattern always parts: letters or numbers, then neither.
 _MARKED = re.compile(r"(.*[^\W_])([.,;:!?&$#%*|)]+)", re.DOTALL)
-RUN_BYTES = 8 << 20
+#: Bytes of text in work at a time; a longer text is a run alone.
+RUN_BYTES = 2 << 20
 
 
 class WordEncoder:
@@ -33,13 +34,16 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.whole: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Marks at its end are encoded apart, and ASCII words in lower case: the same ids, fewer words."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.whole) > REMEMBERED:
             self.known.clear()
-        known, pairs = self.known, []
-        for word in words:
+            self.whole.clear()
+        known, whole, pairs = self.known, self.whole, []
+        unseen = [word for word in words if word not in whole]
+        for word in unseen:
             marked = _MARKED.fullmatch(word)
             core, marks = marked.groups() if marked else (word, "")
             pairs.append((core.lower() if core.isascii() and "<|" not in core else core, marks))
@@ -48,7 +52,8 @@ class WordEncoder:
             some = new[first : first + 50_000]
             for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
                 known[part] = np.array(found.ids, "<u4").tobytes()
-        return [known[core] + known[marks] for core, marks in pairs]
+        whole.update((word, known[core] + known[marks]) for word, (core, marks) in zip(unseen, pairs, strict=True))
+        return [whole[word] for word in words]
 
     def encode(self, texts: pa.Array, end: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per run of texts: number of the first, all ids, and the number of ids up to each text.
