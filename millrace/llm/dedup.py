@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from millrace.llm.buffers import mix, shingle_sets
 from millrace.llm.components import components
@@ -222,11 +223,22 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _nodes_of(texts: pa.Array) -> np.ndarray:
+    """The set id of each text; 0 where there are no words."""
+    out = np.zeros(len(texts), np.int64)
+    for first, values, upto in shingle_sets(texts, WIDTH):
+        full = np.flatnonzero(np.diff(upto))
+        if len(full):
+            out[first + full] = _set_ids(values, upto[:-1][full], np.diff(upto)[full])
+    return out
+
+
 def _members_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, text`` of all rows whose id is in ``ids`` and a few others, before they are shuffled.
+    """``doc_id, node, text`` of all rows whose id, or lack of one, is in ``ids`` and a few others, before they are shuffled.
 
     The ids set bits in one array of a fixed ``FILTER_BITS`` bits, whatever their
-    number; the more there are, the fewer other rows it holds back.
+    number; the more there are, the fewer other rows it holds back. A row's node is
+    that of its own text, and rows of a batch that repeat an id with it go.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
@@ -242,14 +254,23 @@ def _members_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch["bit"].to_numpy()
             hit = (sent.value[at >> 6] >> (at & 63)) & 1
-            yield batch.filter(pa.array(hit == 1)).select(["doc_id", "text"])
+            part = batch.filter(pa.array(hit == 1))
+            node, named = _nodes_of(part["text"]), part["doc_id"]
+            who = [node, named.fill_null(0).to_numpy(), named.is_null().to_numpy(zero_copy_only=False)]
+            once = np.unique(np.stack(who, axis=1), axis=0, return_index=True)[1]
+            once = pa.array(np.sort(once[node[once] != 0]))
+            yield pa.record_batch(
+                {"doc_id": part["doc_id"].take(once), "node": pa.array(node).take(once), "text": part["text"].take(once)}
+            )
 
-    return docs.where("doc_id is not null").withColumn("bit", bit).mapInArrow(known, "doc_id long, text string")
+    return docs.withColumn("bit", bit).mapInArrow(known, "doc_id long, node long, text string")
 
 
 def _checked(cells: DataFrame, texts: DataFrame) -> DataFrame:
     """``cells(node, doc_id, group, i, j)``: links on full sets within each ``(group, i, j)``."""
-    rows = by_group(cells.join(texts, "doc_id").select("group", "i", "j", "node", "text"), "group", "i", "j")
+    texts = texts.select(F.col("doc_id").alias("text_id"), F.col("node").alias("text_node"), "text")
+    own = (F.col("node") == F.col("text_node")) & F.col("doc_id").eqNullSafe(F.col("text_id"))
+    rows = by_group(cells.join(texts, own).select("group", "i", "j", "node", "text"), "group", "i", "j")
     return rows.select("cell", "node", "text").mapInArrow(_verified, "a long, b long").distinct()
 
 
@@ -287,15 +308,8 @@ def full_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFram
     return links.union(_checked(left.union(right).distinct(), texts))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``.
-
-    Sets are the distinct runs of five words, or all words where there are fewer.
-    Rows with equal sets are linked. A null or blank text has an empty set, no links
-    and its own doc_id as component. Rows that share a doc_id are all returned, each
-    with the component of its own set; a null doc_id never names a component unless
-    all doc_ids in it are null. No rows give no rows. Other columns are not read.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, node, component, component_id`` of every row; ``component`` is a node, null as ``node`` is."""
     signed = saved(signatures(docs))
     nodes = saved(
         signed.where("node is not null")
@@ -311,21 +325,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "node")
     )
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(least, "component").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    of_node = named.join(least, "component").select("node", "component", "component_id")
+    return signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``.
+
+    Sets are the distinct runs of five words, or all words where there are fewer.
+    Rows with equal sets are linked. A null or blank text has an empty set, no links
+    and its own doc_id as component. Rows that share a doc_id are all returned, each
+    with the component of its own set; a null doc_id never names a component unless
+    all doc_ids in it are null. No rows give no rows. Other columns are not read.
+    """
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
+    return _grouped(docs).select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
+@F.arrow_udf(LongType())
+def _node_of(texts: pa.Array) -> pa.Array:
+    node = _nodes_of(texts)
+    return pa.array(node, mask=node == 0)
+
+
+_node = _node_of.asNondeterministic()  # a filter on it is not pushed below it, which would count it twice
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group, the one of the smallest doc_id, and all rows without words.
 
-    Of rows that repeat a doc_id with words, one stays.
+    A row stays by its own text: a copy of another document never stands in for a
+    text of the same doc_id. Rows without an id are documents of their own; a group
+    of such rows alone keeps one. Of several texts of a doc_id that would stay, the
+    one of the smallest set id does.
     """
-    kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.max("n_shingles").alias("near_duplicate_words"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))
-    rows = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), same)
-    worded = rows.where("near_duplicate_words > 0").dropDuplicates(["kept_id"])
-    return worded.union(rows.where("near_duplicate_words = 0")).select(*[rows[c] for c in docs.columns])
+    worded = _grouped(docs).where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.when(F.col("doc_id").isNull(), F.col("component"))
+    kept = worded.groupBy(F.col("doc_id").alias("kept_id"), alone.alias("kept_of")).agg(F.min("node").alias("kept_node"))
+    text = F.col("text").cast("string")
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), _node(text).alias("own_node"))
+    same = (F.col("own_node") == F.col("kept_node")) & F.col("own_id").eqNullSafe(F.col("kept_id"))
+    once = rows.join(kept, same).dropDuplicates(["kept_id", "kept_node"]).select("row.*")
+    return once.union(docs.where(blank))

@@ -77,6 +77,28 @@ def test_odd_rows(spark):
     assert ids.count(11) == 1 and ids.count(10) == 1 and 7 not in ids and 5 not in ids and {1, 2, 3, 4, 6, 8, 9} <= set(ids)
 
 
+def test_survivors_are_chosen_by_their_own_text(spark):
+    """Null-id rows are documents of their own; a copy never stands in for another text of its doc_id."""
+    word = lambda n, k: " ".join(f"{n}{i}" for i in range(k))
+    rows = [
+        (None, word("a", 9)), (None, word("b", 9)), (None, word("b", 9)), (None, ""), (None, None), (None, word("c", 9)),
+        (1, word("c", 9)), (2, word("d", 9)), (3, word("e", 9)), (3, word("d", 9)), (4, word("d", 9)), (4, word("f", 9)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [rows[k] for k in (0, 1, 3, 4, 6, 7, 8, 11)]
+    assert sorted(map(tuple, dedup.deduplicated(df).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_rows_without_an_id_or_with_one_id_link_others(spark):
+    """Near copies are joined through a null-id row, and where every text has the same doc_id."""
+    text = lambda cut: " ".join(f"w{i}" for i in range(cut, cut + 60))
+    for ids in ((1, None, 2), (None, None, None), (5, 5, 5)):
+        rows = list(zip(ids, map(text, (0, 7, 14)), strict=True))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert got(dedup.near_duplicates(df)) == brute(rows)
+        assert dedup.deduplicated(df).count() == 1
+
+
 def test_empty_table(spark):
     df = odd_documents(spark).limit(0)
     assert dedup.near_duplicates(df).count() == 0
