@@ -1,9 +1,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from millrace.llm import dedup
 from millrace.llm.components import components
 from millrace.llm.queries import QUERIES
+from millrace.llm.streams import fixed_binary
 from tests.llm.fixtures import odd_documents, shingle_set
 
 
@@ -77,6 +81,20 @@ def test_odd_rows(spark):
     assert ids.count(11) == 1 and ids.count(10) == 1 and 7 not in ids and 5 not in ids and {1, 2, 3, 4, 6, 8, 9} <= set(ids)
 
 
+def test_pairs_with_unlucky_sketches_are_linked(spark):
+    """Of pairs at the threshold that share a table, those with the fewest equal minhashes."""
+    texts = [" ".join(f"p{k}x{i}" for i in range(d, d + 60)) for k in range(6000) for d in (0, 8)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    signed = pa.Table.from_batches(dedup._signatures([batch]))
+    sketch, halves = (fixed_binary(signed[c], kind) for c, kind in (("sketch", np.uint8), ("halves", np.uint64)))
+    same = halves[::2] == halves[1::2]
+    shared = same[:, : dedup.HALVES].any(axis=1) & same[:, dedup.HALVES :].any(axis=1)
+    unlucky = np.flatnonzero(shared & ((sketch[::2] == sketch[1::2]).sum(axis=1) < 27))
+    assert len(unlucky)
+    rows = [(int(2 * k + d), texts[2 * k + d]) for k in unlucky for d in (0, 1)]
+    assert got(dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_survivors_are_chosen_by_their_own_text(spark):
     """Null-id rows are documents of their own; a copy never stands in for another text of its doc_id."""
     word = lambda n, k: " ".join(f"{n}{i}" for i in range(k))
