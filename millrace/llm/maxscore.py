@@ -26,7 +26,7 @@ class Postings:
         # Products of numbers this small sum up within 64 bits; larger ones are counted in whole Python numbers.
         small = not whole.size or np.abs(whole).max() < 2.0**27
         self.x = whole.astype(np.int64) if small else _whole(whole)
-        self.k, self.dims = k + 1, x.shape[1]
+        self.k, self.dims = k, x.shape[1]
         self.lists = {}
         for d in range(self.dims):
             column = self.x[:, d]
@@ -34,18 +34,18 @@ class Postings:
                 holders = np.flatnonzero(sign * column > 0)
                 self.lists[d, sign] = holders[np.argsort(-sign * column[holders], kind="stable")]
 
-    def search(self, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, more: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
         whole = np.floor(SCALE * queries)
         small = np.abs(whole).max(initial=0) < 2.0**27 and self.x.dtype == np.int64
-        return [self._one(q) for q in (whole.astype(np.int64) if small else _whole(whole))]
+        return [self._one(q, self.k + more) for q in (whole.astype(np.int64) if small else _whole(whole))]
 
-    def _one(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _one(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         x = self.x.astype(object) if q.dtype == object and self.x.dtype != object else self.x
         dims = [d for d in range(self.dims) if q[d]]
         plus = {d: self.lists[d, 1 if q[d] > 0 else -1] for d in dims}
         bound = {d: q[d] * x[plus[d][0], d] if len(plus[d]) else 0 for d in dims}
         dims.sort(key=lambda d: bound[d])  # least first
-        k = min(self.k, len(x))
+        k = min(k, len(x))
         heads = np.unique(np.concatenate([plus[d][:HEAD] for d in dims[-16:]] + [np.arange(k)]))
         known = x[heads] @ q
         threshold = np.sort(known)[-k]  # k vectors score as much
@@ -83,7 +83,8 @@ def best(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     All rows but the query's own are candidates, zero vectors included. Vectors that are
     null, empty or hold null, NaN or infinite components take no part, nor do rows
     without an id; vectors of different lengths are not compared. Equal scores go by
-    vec_id; rows that repeat an id are the query's own row too. Scores beyond 64 bits
+    vec_id; rows that repeat an id are the query's own row too, and each pair of rows has
+    its own rank, as in the query's SQL. Scores beyond 64 bits
     count as the largest or least 64-bit number. Fewer candidates give fewer rows, none
     give none. Other columns are not read.
     """
@@ -91,8 +92,8 @@ def best(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
 
 class _Saturated(Postings):
-    def search(self, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        found = super().search(queries)
+    def search(self, queries: np.ndarray, more: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = super().search(queries, more)
         if not any(s.dtype == object for _, s in found):
             return found
         low, high = -(1 << 63), (1 << 63) - 1

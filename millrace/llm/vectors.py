@@ -32,20 +32,36 @@ def matrix(batch: pa.RecordBatch) -> np.ndarray:
     return values.reshape(batch.num_rows, -1)
 
 
-def _same(x: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct vectors, and the ``keep`` smallest ids of each: of equal vectors a result never needs more."""
-    x, back = np.unique(x, axis=0, return_inverse=True)
-    order = np.lexsort((ids, back.ravel()))
-    edges = bounds(back.ravel()[order])
-    return x, [ids[order[a : min(a + keep, b)]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
+def _same(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray], dict[int, int]]:
+    """Distinct vectors, the smallest ids of each, and for ids that several of these have, how many.
 
-def search(vectors: DataFrame, is_query: Column, k: int, index: Index, score: str, shard: int = SHARD) -> DataFrame:
+    Of equal vectors a result never needs more than ``k`` of an id, nor more than the
+    first ``2 * k`` of those: whichever id is a query's own, ``k`` others are left.
+    """
+    x, back = np.unique(x, axis=0, return_inverse=True)
+    back = back.ravel()
+    order = np.lexsort((ids, back))
+    ids, back = ids[order], back[order]
+    runs = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (back[1:] != back[:-1])]))
+    few = np.arange(len(ids)) - np.repeat(runs, np.diff(np.append(runs, len(ids)))) < k
+    own, held = np.unique(ids[runs], return_counts=True)
+    several = dict(zip(own[held > 1].tolist(), held[held > 1].tolist(), strict=True))
+    ids, back = ids[few], back[few]
+    edges = bounds(back)
+    return x, [ids[a : min(a + 2 * k, b)] for a, b in zip(edges[:-1], edges[1:], strict=True)], several
+
+
+def search(
+    vectors: DataFrame, is_query: Column, k: int, index: Index, score: str, shard: int = SHARD, *, once: bool = False
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best of all other rows for each query row of ``vectors(vec_id, x)``.
 
     Rows are dealt to shards by a hash. ``index(x, k)`` makes a shard's index from its
-    distinct vectors; its ``search(queries)`` gives, per query, numbers and scores of
-    vectors that hold at least the ``k + 1`` best, ties in full. Each shard is one
+    distinct vectors; its ``search(queries, more)`` gives, per query, numbers and scores
+    of vectors that hold at least the ``k + more`` best, ties in full. ``more`` is the
+    number of vectors that have the query's own id, so ``k`` are left without these.
+    Where query rows share an id, ``once`` gives each other row one rank, by its best
+    score with any of them; else every pair of rows has a rank of its own. Each shard is one
     stream: its vectors first, then the queries block by block, so a task holds a
     shard and a block whatever the number of queries. Shard results are merged by rank.
     """
@@ -56,15 +72,19 @@ def search(vectors: DataFrame, is_query: Column, k: int, index: Index, score: st
     asked = vectors.where(is_query).select(
         size, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("ask"), "vec_id", "x"
     )
+    asked = asked.dropDuplicates(["shard", "vec_id", "x"]) if once else asked
     rows = stored.union(asked).repartition(shards, "size", "shard").sortWithinPartitions("size", "shard", "ask", "vec_id")
 
     def answers(batches):
         for kind, x, ids in _runs(batches):
             if kind == 0:
-                distinct, names = _same(x, ids, k + 1)
+                distinct, names, several = _same(x, ids, k)
                 built = index(distinct, k)
             elif built is not None:
-                yield _best(built.search(x), names, ids, k, score)
+                more = np.array([several.get(i, 1) for i in ids.tolist()])
+                for n in np.unique(more):
+                    ask = np.flatnonzero(more == n)
+                    yield _best(built.search(x[ask], int(n)), names, ids[ask], k, x.shape[1], score)
             else:
                 continue
 
@@ -95,22 +115,37 @@ def search(vectors: DataFrame, is_query: Column, k: int, index: Index, score: st
                 place = here
 
     built = None
-    found = rows.mapInArrow(answers, f"query_id long, vec_id long, score {score}")
+    found = rows.mapInArrow(answers, f"query_id long, vec_id long, size int, place long, score {score}")
+    if once:  # an id is in one shard alone for each size, so this names a row
+        row = ("query_id", "vec_id", "size", "place")
+        found = found.repartition("query_id").groupBy(*row).agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _best(found, names: list[np.ndarray], queries: np.ndarray, k: int, score: str) -> pa.RecordBatch:
-    """The ``k`` best ids of a shard for each query, without the query's own; ``found`` has numbers and scores per query."""
+def _best(found, names: list[np.ndarray], queries: np.ndarray, k: int, size: int, score: str) -> pa.RecordBatch:
+    """The ``k`` best rows of a shard for each query, without the query's own; ``found`` has numbers and scores per query.
+
+    ``place`` tells rows of the same id apart.
+    """
+    first = np.concatenate([[0], np.cumsum([len(n) for n in names])])
     out = []
     for query, (numbers, scores) in zip(queries.tolist(), found, strict=True):
         ids = [names[n] for n in numbers]
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(first[n], first[n + 1]) for n in numbers]) if ids else np.zeros(0, np.int64)
         value = np.repeat(np.asarray(scores), [len(i) for i in ids])
-        flat, value = flat[flat != query], value[flat != query]
-        top = np.lexsort((flat, -value))[:k]
-        out.append((np.full(len(top), query), flat[top], value[top]))
-    query, ids, value = (np.concatenate(c) for c in zip(*out, strict=True))
+        other = flat != query
+        flat, value, place = flat[other], value[other], place[other]
+        top = np.lexsort((place, flat, -value))[:k]
+        out.append((np.full(len(top), query), flat[top], place[top], value[top]))
+    query, ids, place, value = (np.concatenate(c) for c in zip(*out, strict=True))
     kind = pa.float64() if score == "double" else pa.int64()
-    return pa.record_batch({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(value, kind)})
+    return pa.record_batch(
+        {
+            "query_id": pa.array(query, pa.int64()), "vec_id": pa.array(ids, pa.int64()),
+            "size": pa.array(np.full(len(ids), size), pa.int32()), "place": pa.array(place, pa.int64()),
+            "score": pa.array(value, kind),
+        }
+    )

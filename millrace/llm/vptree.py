@@ -26,7 +26,7 @@ class VantageTree:
     """A tree over unit vectors; leaves are visited by bound, all queries of a block together."""
 
     def __init__(self, x: np.ndarray, k: int, relax: float):
-        self.original, self.k, self.relax = x, k + 1, relax
+        self.original, self.k, self.relax = x, k, relax
         self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.points: list[int] = []
         self.leaves: list[np.ndarray] = []
@@ -59,18 +59,19 @@ class VantageTree:
                 np.maximum(low[:, leaf], np.maximum(inner - away[:, number], away[:, number] - outer), out=low[:, leaf])
         return low
 
-    def search(self, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Numbers and cosines of what can be among the ``k + 1`` nearest, for each query."""
+    def search(self, queries: np.ndarray, more: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and cosines of what can be among the ``k + more`` nearest, for each query."""
+        k = self.k + more
         q = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         low = self.bounds(q)
-        nearest = np.full((len(q), self.k), np.inf)  # distances found so far, the largest last
+        nearest = np.full((len(q), k), np.inf)  # distances found so far, the largest last
         seen: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in q]
         visited = np.zeros(low.shape, bool)
 
         def visit(leaf: int, who: np.ndarray) -> None:
             rows = self.leaves[leaf]
             away = np.sqrt(np.maximum(2 - 2 * q[who] @ self.x[rows].T, 0))
-            merged = np.sort(np.concatenate([nearest[who], away], axis=1), axis=1)[:, : self.k]
+            merged = np.sort(np.concatenate([nearest[who], away], axis=1), axis=1)[:, :k]
             nearest[who] = merged
             visited[who, leaf] = True
             for one, distances, limit in zip(who.tolist(), away, merged[:, -1] + SLACK, strict=True):
@@ -101,8 +102,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, relax: float = REL
     All rows but the query's own are candidates. Vectors that are null, empty, zero or
     hold null, NaN or infinite components take no part, nor do rows without an id;
     vectors of different lengths are not compared. Equal scores go by vec_id. Rows that
-    repeat an id are the query's own row too. Fewer candidates give fewer rows, none
+    repeat an id are the query's own row too, and ask as one: every other row has one
+    rank, by its best score. Fewer candidates give fewer rows, none
     give none. Other columns are not read.
     """
     rows = finite(vectors).where(F.exists("x", lambda v: v != 0))
-    return search(rows, is_query, k, lambda x, k: VantageTree(x, k, relax), "double")
+    return search(rows, is_query, k, lambda x, k: VantageTree(x, k, relax), "double", once=True)

@@ -74,6 +74,31 @@ def test_products_odd_rows(spark, shard, monkeypatch):
     assert got == brute(values, 10, lambda i: i % 100 == 0, product)
 
 
+REPEATS = [(0, [1.0, 0.0, 2.0]), (0, [1.0, 0.0, 2.0]), (100, [0.0, 1.0, 1.0]), (300, [9.0, 9.0, 8.5])]
+REPEATS += [(100, [k / 100, 1.0, 1.0]) for k in range(1, 30)] + [(300, [9.0, 9.0, 9.0])] * 30
+REPEATS += [(k, [1.0, k / 9, 1.5]) for k in range(1, 30)] + [(k, [9.0, 9.0, 9.0]) for k in range(400, 440)]
+
+
+@pytest.mark.parametrize("shard", [8192, 10])
+def test_queries_that_repeat_an_id(spark, shard, monkeypatch):
+    """Own rows take no place of others; nearest ranks a row once, products every pair of rows as in the SQL."""
+    monkeypatch.setattr(vptree, "LEAF", 4)
+    monkeypatch.setattr(vptree.search, "__defaults__", (shard,))
+    df = spark.createDataFrame(rows_of(REPEATS), SCHEMA)
+    near, product_rows = [], []
+    for q in (0, 100, 300):
+        own, others = [x for i, x in REPEATS if i == q], [(i, x) for i, x in REPEATS if i != q]
+        found = sorted((-max(cosine(x, y) for x in own), i) for i, y in others)[:5]
+        near += [(q, n + 1, -s) for n, (s, _) in enumerate(found)]
+        found = sorted((-product(x, y), i) for x in own for i, y in others)[:10]
+        product_rows += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    asked = F.col("vec_id").isin(0, 100, 300)
+    got = sorted(map(tuple, vptree.nearest(df, asked, relax=1.0).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in near]
+    assert all(abs(g[3] - w[2]) < 1e-12 for g, w in zip(got, near, strict=True))
+    assert sorted(map(tuple, maxscore.best(df, asked).collect())) == product_rows
+
+
 def test_products_of_large_numbers_and_negative_best(spark):
     values = [(0, [3e5, -1.0]), (1, [-2e5, 1.0]), (2, [-4e5, 8.0]), (100, [1e30, 1.0]), (3, [1e30, 2.0])]
     df = spark.createDataFrame(rows_of(values), SCHEMA)
