@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.buffers import lower, pieces, shingles, text_bytes, word_hashes, words
+from millrace.llm.license_texts import NOTICES
 
 GRAM = 3
 WINNOW = 2
@@ -26,8 +27,8 @@ COVERAGE = 0.6
 #: The index goes to every task, so the templates' words are bounded.
 MOST_WORDS = 2_000_000
 
-# Notices by which texts state a public license.
-TEMPLATES = (
+# Notices by which texts state a public license, then those of ``license_texts`` that are not among them.
+_FIRST = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -41,6 +42,7 @@ TEMPLATES = (
      "associated documentation files, to deal in the Software without restriction"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+TEMPLATES = (*_FIRST, *(notice for notice in NOTICES if notice not in _FIRST))
 
 _APART = np.ones(256, bool)  # all but letters, digits and bytes of longer characters part words
 _APART[48:58] = _APART[97:123] = _APART[128:] = False

@@ -267,6 +267,18 @@ def test_license_odd_rows_and_changed_words(odd):
     assert gpl.matched == 9 and text[gpl.start : gpl.end].endswith("Public License") and {d for d, _ in got} == {23}
 
 
+def test_license_bodies_headers_and_short_forms(spark):
+    notices = [
+        ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0"),
+        ("CC-BY-NC-ND-4.0", "under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+        ("BSD", "Released under the BSD License."), *((n, t) for n, t in licenses.TEMPLATES if len(t) > 200),
+    ]
+    df = spark.createDataFrame([(k, f"Some words before. {t} Some words behind.") for k, (_, t) in enumerate(notices)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license) for r in licenses.license_spans(df).collect())
+    assert got == [(k, n) for k, (n, _) in enumerate(notices)]
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "CC0-1.0"} <= {n for n, _ in notices}
+
+
 @pytest.mark.parametrize("run", [
     lambda d: packing.pack(d, WORD_TOKENIZER), lambda d: lengths.length_table(lengths.histogram(d, WORD_TOKENIZER)),
     mixing.mixed, mixing.sampled, pii.personal_data, pii.redacted, language.identified, language.accepted, licenses.license_spans,
