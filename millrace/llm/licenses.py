@@ -8,7 +8,9 @@ band around that diagonal. No rows are shuffled or grouped.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -77,10 +79,12 @@ class TemplateIndex:
     def __init__(self, templates: Sequence[tuple[str, str]]):
         self.names = [name for name, _ in templates]
         self.words: list[list[int]] = []
+        self.counts: list[Counter] = []
         found = []
         for number, (_, text) in enumerate(templates):
             _, _, _, _, _, upto, word = next(_hashed(pa.array([text], pa.large_string())))
             self.words.append(word.tolist())
+            self.counts.append(Counter(self.words[-1]))
             grams, ends = shingles(word, upto, GRAM)
             at = _winnowed(grams, ends)
             found += [(int(grams[a]), number, int(a)) for a in at]
@@ -98,10 +102,11 @@ class TemplateIndex:
         return np.repeat(at, many), self.template[entry], self.place[entry]
 
 
-def align(template: list[int], text: list[int], shift: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: list[int], text: list[int | None], shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Matched words, begin and end in ``text`` of the best local alignment within ``band`` of the diagonal ``shift``.
 
-    A match is worth 1; a word changed, left out or put in costs 1. Each cell of the band
+    A match is worth 1; a word changed, left out or put in costs 1. No alignment
+    passes a None in ``text``. Each cell of the band
     keeps its score, matches and begin, so only two rows are held.
     """
     best = (0, 0, 0, 0)
@@ -109,6 +114,8 @@ def align(template: list[int], text: list[int], shift: int, band: int = BAND) ->
     for i, wanted in enumerate(template):
         row: dict[int, tuple[int, int, int]] = {}
         for j in range(max(0, i + shift - band), min(len(text), i + shift + band + 1)):
+            if text[j] is None:
+                continue
             same = text[j] == wanted
             score, matched, begin = above.get(j - 1, (0, 0, j))
             options = [(score + 1, matched + 1, begin) if same else (score - 1, matched, begin)]
@@ -127,6 +134,50 @@ def align(template: list[int], text: list[int], shift: int, band: int = BAND) ->
     return best[1], best[2], best[3]
 
 
+def _at_most(counts: Counter, text: list[int | None]) -> int:
+    """No alignment matches more words than the texts have in common, in any order."""
+    return sum(min(n, counts[w]) for w, n in Counter(w for w in text if w in counts).items())
+
+
+def _spans(index: TemplateIndex, text: list[int | None], candidates: list[list[int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Template, matched words, begin and end of the spans of a text, the best covered first; ``text`` is used up.
+
+    A candidate waits with the most that it could cover. The best one is aligned when
+    its turn comes, around the spans taken before; it stands if it is still the best,
+    and is tried again for a copy beside it.
+    """
+    waiting: list[tuple[float, int, int, int, int, int]] = []
+
+    def part(number: int, shift: int) -> tuple[int, list[int | None]]:
+        low = max(0, shift - BAND)
+        return low, text[low : max(0, shift + len(index.words[number]) + 2 * BAND)]
+
+    def wait(number: int, shift: int) -> None:
+        size, (_, here) = len(index.words[number]), part(number, shift)
+        most = _at_most(index.counts[number], here) if len(here) >= COVERAGE * size else 0
+        if most and most >= COVERAGE * size:
+            heappush(waiting, (-most / size, -most, -1, -1, number, shift))
+
+    for number, shift in candidates:
+        wait(number, shift)
+    while waiting:
+        _, less, a, b, number, shift = heappop(waiting)
+        if a < 0:
+            low, here = part(number, shift)
+            wanted = index.words[number]
+            if _at_most(index.counts[number], here) < -less:  # words of it were taken since
+                wait(number, shift)
+                continue
+            matched, a, b = align(wanted, here, shift - low)
+            if matched and matched >= COVERAGE * len(wanted):
+                heappush(waiting, (-matched / len(wanted), -matched, low + a, low + b, number, shift))
+        else:
+            if None not in text[a:b]:
+                yield number, -less, a, b
+                text[a:b] = [None] * (b - a)
+            wait(number, shift)
+
+
 def _scan(index: TemplateIndex, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int, int]]:
     """Text number, template, coverage, matched words, begin and end in code points."""
     for first, raw, starts, begin, end, upto, word in _hashed(texts):
@@ -136,29 +187,20 @@ def _scan(index: TemplateIndex, texts: pa.Array) -> Iterator[tuple[int, int, flo
             continue
         text = np.searchsorted(ends, at, side="right") - 1
         diagonal = at - ends[text] - place
-        order = np.lexsort((diagonal, template, text))
-        key = np.stack([text, template, diagonal], axis=1)[order]
-        found: dict[int, list[tuple[float, int, int, int, int]]] = {}
+        key = np.unique(np.stack([text, template, diagonal], axis=1), axis=0)
+        found: dict[int, list[list[int]]] = {}
         open_ = (-1, -1, 0)
-        for t, number, shift in np.unique(key, axis=0).tolist():
+        for t, number, shift in key.tolist():
             if (t, number) == open_[:2] and shift - open_[2] <= BAND // 2:
                 continue
             open_ = (t, number, shift)
-            low = max(0, shift - BAND)
-            wanted = index.words[number]
-            here = word[upto[t] + low : min(upto[t + 1], upto[t] + shift + len(wanted) + 2 * BAND)].tolist()
-            matched, a, b = align(wanted, here, shift - low)
-            if matched >= COVERAGE * len(wanted):
-                found.setdefault(t, []).append((-matched / len(wanted), -matched, low + a, low + b, number))
-        for t, spans in found.items():
-            taken: list[tuple[int, int]] = []
-            for coverage, matched, a, b, number in sorted(spans):
-                if all(b <= x or y <= a for x, y in taken):
-                    taken.append((a, b))
-                    span = raw[starts[t] : starts[t + 1]]
-                    left, right = begin[upto[t] + a] - starts[t], end[upto[t] + b - 1] - starts[t]
-                    points = [int(np.count_nonzero((span[:n] & 0xC0) != 0x80)) for n in (left, right)]
-                    yield first + t, number, -coverage, -matched, *points
+            found.setdefault(t, []).append([number, shift])
+        for t, candidates in found.items():
+            span = raw[starts[t] : starts[t + 1]]
+            for number, matched, a, b in _spans(index, word[upto[t] : upto[t + 1]].tolist(), candidates):
+                left, right = begin[upto[t] + a] - starts[t], end[upto[t] + b - 1] - starts[t]
+                points = [int(np.count_nonzero((span[:n] & 0xC0) != 0x80)) for n in (left, right)]
+                yield first + t, number, matched / len(index.words[number]), matched, *points
 
 
 def license_spans(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:

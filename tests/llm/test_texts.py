@@ -279,6 +279,14 @@ def test_license_bodies_headers_and_short_forms(spark):
     assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "CC0-1.0"} <= {n for n, _ in notices}
 
 
+def test_license_copies_in_a_row(spark):
+    rows = [(k, " ".join([notice] * n)) for k, (notice, n) in enumerate(
+        (t, n) for t in ("Released under the MIT License.", "Licensed under CC BY-NC 4.0.") for n in (1, 2, 3, 7)
+    )]
+    got = Counter(r.doc_id for r in licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.coverage == 1)
+    assert [got[k] for k in range(8)] == [1, 2, 3, 7] * 2
+
+
 @pytest.mark.parametrize("run", [
     lambda d: packing.pack(d, WORD_TOKENIZER), lambda d: lengths.length_table(lengths.histogram(d, WORD_TOKENIZER)),
     mixing.mixed, mixing.sampled, pii.personal_data, pii.redacted, language.identified, language.accepted, licenses.license_spans,
