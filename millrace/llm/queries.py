@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import dedup, language, lengths, licenses, maxscore, mixing, packing, pii, toxicity, vptree
+from millrace.llm import alignment, dedup, language, lengths, licenses, maxscore, mixing, packing, pii, toxicity, vptree
 from millrace.llm.streams import table
 
-#: A folder of public tokenizers; the files stay there.
-TOKENIZERS = "/opt/tokenizers"
-WORD_TOKENIZER = f"{TOKENIZERS}/word_bpe_49k.json"
+#: Vocabulary files of public tokenizers, where the installed package keeps them.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +90,8 @@ def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_spans")
 def license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
