@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.buffers import pieces, text_bytes
+from millrace.llm.tokens import Memory, joined
 from millrace.session import cut
 
 #: Bytes of text in work at a time; a longer text is a run alone.
-RUN_BYTES = 1 << 19
-#: Bytes of a long text that are encoded at a time, where it can be parted without changing a token.
-PART_BYTES = 1 << 17
+RUN_BYTES = 1 << 20
 #: Different pairs that a task sums up before it hands them on.
 HELD_PAIRS = 1 << 18
 
@@ -76,12 +76,12 @@ class _Side:
     """One tokenizer with what a task needs of its tokens: length, bytes and number as text."""
 
     def __init__(self, encode: Encode, table: list[bytes]):
-        self.encode = encode
         self.bytes = pa.array(table, pa.large_binary())
         self.length = pc.binary_length(self.bytes)
         self.number = pa.array([str(i) for i in range(len(table))], pa.large_string())
-        #: No token has a space after another byte, so tokens never cross a space that follows one.
-        self.parts = not any(b" " in t.lstrip(b" ") for t in table)
+        self.memory = Memory(encode)
+        #: No token has a space after a byte that texts are parted behind, so none reaches over a cut.
+        self.parts = not any(re.search(rb"([!-~]|(^|[\xc3-\xdf])[\x80-\xbf]) ", t) for t in table)
 
 
 @functools.cache
@@ -89,34 +89,42 @@ def _sides(byte_path: str, piece_path: str) -> tuple[_Side, _Side]:
     return _Side(*byte_level(byte_path)), _Side(*piece_level(piece_path))
 
 
-def _parts(text: str, size: int) -> list[str]:
-    """A long text in parts that are encoded alike alone: cut at one space between two ASCII letters.
+def _parted(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Texts in parts that are encoded alike alone, and the number of parts up to each text.
 
-    There the byte-level pattern begins anew, and no piece reaches over it; the space
-    itself goes, since both tokenizers put one before each part.
+    Cut at each single space between two characters that are no white space by anyone's
+    rule: printable ASCII ones, or those from U+00C0 to U+07FF. There the byte-level
+    pattern begins anew, and no piece reaches over it; the space itself goes, since both
+    tokenizers put one before each part.
     """
-    out, first = [], 0
-    while len(text) - first > size:
-        at = text.find(" ", first + size)
-        while at > 0 and not (text[at - 1 : at].isascii() and text[at - 1].isalpha() and text[at + 1 : at + 2].isascii() and text[at + 1 : at + 2].isalpha()):
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        out.append(text[first:at])
-        first = at + 1
-    return [*out, text[first:]]
-
-
-def _encoded(sides: tuple[_Side, _Side], texts: list[str], size: int) -> list[pa.LargeListArray]:
-    """Token ids of each text by each tokenizer."""
-    lists = [_parts(t, size) if t and all(s.parts for s in sides) else [t] * bool(t) for t in texts]
-    upto = np.cumsum([0, *map(len, lists)])
-    flat = [part for one in lists for part in one]
+    printable = (data > 0x20) & (data < 0x7F)
+    two = (data >= 0xC3) & (data <= 0xDF)  # first bytes of two
+    after = np.concatenate([[False, False], two[:-2]])[: len(data)] | np.concatenate([[False], printable[:-1]])[: len(data)]
+    at = np.flatnonzero((data == 0x20) & after & np.concatenate([(printable | two)[1:], [False]])[: len(data)])
+    text = np.searchsorted(starts, at, side="right") - 1
+    at = at[(at > starts[text] + (~printable[at - 1]).astype(np.int64)) & (at + 1 < starts[text + 1])]  # neighbours of the same text
+    kept = np.delete(data, at)
+    some = starts[:-1][np.diff(starts) > 0]
+    begins = np.sort(np.concatenate([some, at + 1]))
+    offsets = np.concatenate([begins - np.searchsorted(at, begins), [len(kept)]]).astype(np.int64)
+    parts = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return parts, np.searchsorted(begins, starts)
+
+
+def _encoded(sides: tuple[_Side, _Side], texts: pa.Array) -> list[pa.LargeListArray]:
+    """Token ids of each text by each tokenizer; each different part is encoded once."""
+    data, starts = text_bytes(texts)
+    if all(s.parts for s in sides):
+        parts, upto = _parted(data, starts)
+    else:
+        full = np.diff(starts) > 0
+        parts, upto = texts.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])
+    named = parts.dictionary_encode()
+    index, names = named.indices.to_numpy(zero_copy_only=False), named.dictionary.to_pylist()
     out = []
     for side in sides:
-        found = pa.array(side.encode(flat) if flat else [], pa.large_list(pa.int32()))
-        offsets = found.offsets.to_numpy()[upto]
-        out.append(pa.LargeListArray.from_arrays(pa.array(offsets), found.flatten()))
+        flat, total = joined(side.memory.ids(names), index)
+        out.append(pa.LargeListArray.from_arrays(pa.array(total[upto]), pa.array(flat.astype(np.int32))))
     return out
 
 
@@ -130,15 +138,17 @@ def _tokens(side: _Side, lists: pa.LargeListArray, stride: int) -> pa.Table:
     return pa.table({"id": ids, "key": key, "row": pa.array(np.arange(len(ids)))})
 
 
-def _covering(sides: tuple[_Side, _Side], lists: list[pa.LargeListArray], texts: list[bytes]) -> np.ndarray:
+def _covering(sides: tuple[_Side, _Side], lists: list[pa.LargeListArray], texts: pa.Array) -> np.ndarray:
     """Of which documents both tokenizers give back every byte."""
-    good = np.array([bool(t) for t in texts], dtype=bool)
+    raw, at = text_bytes(texts)
+    raw, good = memoryview(raw), np.diff(at) > 0
     for side, found in zip(sides, lists, strict=True):
         data = side.bytes.take(pc.list_flatten(found))
         starts = np.frombuffer(data.buffers()[1], np.int64)[: len(data) + 1][found.offsets.to_numpy() - found.offsets[0].as_py()]
         whole = memoryview(data.buffers()[2] or b"").cast("B")
         for k in np.flatnonzero(good).tolist():
-            good[k] = whole[starts[k] : starts[k + 1]] == b" " + texts[k]
+            own = whole[starts[k] : starts[k + 1]]
+            good[k] = own[:1] == b" " and own[1:] == raw[at[k] : at[k + 1]]
     return good
 
 
@@ -175,16 +185,15 @@ def _summed(table: pa.Table, *key: str) -> pa.Table:
     return out.rename_columns([*key, "n"])
 
 
-def _aligned(batch: pa.RecordBatch, sides: tuple[_Side, _Side], run: int, part: int) -> Iterator[pa.RecordBatch]:
+def _aligned(batch: pa.RecordBatch, sides: tuple[_Side, _Side], run: int) -> Iterator[pa.RecordBatch]:
     filled = batch["text"].cast(pa.large_string()).fill_null("")
     _, starts = text_bytes(filled)
     for first, last in pieces(starts, run):
-        texts = filled.slice(first, last - first).to_pylist()
-        raw = [t.encode() for t in texts]
-        lists = _encoded(sides, texts, part)
-        good = _covering(sides, lists, raw)
+        texts = filled.slice(first, last - first)
+        lists = _encoded(sides, texts)
+        good = _covering(sides, lists, texts)
         lists = [_only(found, good) for found in lists]
-        stride = max(map(len, raw), default=0) + 2
+        stride = int(np.diff(starts[first : last + 1]).max(initial=0)) + 2
         tables = [_tokens(s, found, stride) for s, found in zip(sides, lists, strict=True)]
         links = tables[0].rename_columns(["a", "key", "row_a"]).join(
             tables[1].rename_columns(["b", "key", "row_b"]), "key", join_type="inner", use_threads=False
@@ -213,13 +222,13 @@ def _aligned(batch: pa.RecordBatch, sides: tuple[_Side, _Side], run: int, part:
 _FOUND = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, n array<long>"
 
 
-def alignments(docs: DataFrame, byte_path: str, piece_path: str, run: int = RUN_BYTES, part: int = PART_BYTES) -> DataFrame:
+def alignments(docs: DataFrame, byte_path: str, piece_path: str, run: int = RUN_BYTES) -> DataFrame:
     """Each document's counts and digest, and its linked id pairs with how often it links them (``a``, ``b``, ``n``)."""
 
     def align(batches):
         sides = _sides(byte_path, piece_path)
         for batch in batches:
-            yield from _aligned(batch, sides, run, part)
+            yield from _aligned(batch, sides, run)
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return typed.mapInArrow(align, _FOUND)
@@ -260,8 +269,8 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     A null or empty text, or one that a tokenizer's bytes do not give back, has no
     tokens: zeros and an empty digest, and it counts for no pair. Rows that repeat an id
     or a text are rows each and count each; a null doc_id stays null. No rows give no
-    rows. Other columns are not read. A text is encoded in parts where that changes no
-    token; its tokens are in memory together, about 50 bytes for each.
+    rows. Other columns are not read. A text's tokens are in memory together, about 50
+    bytes for each.
     """
     found = cut(alignments(docs, byte_path, piece_path), "alignment")
     counts = pair_counts(found).toArrow()  # bounded by the vocabularies, see above

@@ -13,13 +13,51 @@ import pyarrow.compute as pc
 from millrace.llm.buffers import pieces, text_bytes
 
 #: Words and parts of words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+LONG_WORD = 64
 #: A word and marks after it, which the tokenizer's pattern always parts: letters or numbers, then neither.
 _MARKED = re.compile(r"(.*[^\W_])([.,;:!?&$#%*|)]+)", re.DOTALL)
 #: Bytes of text in work at a time; a longer text is a run alone.
 RUN_BYTES = 2 << 20
 
 
+def joined(ids: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that ``index`` names, one after the other, and the number of them up to each entry."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    length = np.array([len(x) // 4 for x in ids], np.int64)
+    begin = np.cumsum(length) - length
+    used = length[index]
+    total = np.concatenate([[0], np.cumsum(used)])
+    return flat[np.repeat(begin[index] - total[:-1], used) + np.arange(total[-1])], total
+
+
+class Memory:
+    """Ids of the words that a worker has met, encoded once.
+
+    Two generations: when the younger is full, the older goes, and words in use are
+    taken over, so frequent words stay. Words of over ``LONG_WORD`` characters are not
+    kept.
+    """
+
+    def __init__(self, encode, limit: int = REMEMBERED):
+        self.encode, self.limit = encode, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """``<u4`` bytes of the ids of each of different words."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        young.update((w, old[w]) for w in words if w not in young and w in old)
+        found, new = {}, [w for w in words if w not in young]
+        for first in range(0, len(new), 50_000):
+            some = new[first : first + 50_000]
+            for word, ids in zip(some, self.encode(some), strict=True):
+                (young if len(word) <= LONG_WORD else found)[word] = np.array(ids, "<u4").tobytes()
+        return [young[w] if w in young else found[w] for w in words]
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer whose tokens never cross ASCII white space.
 
@@ -72,10 +110,5 @@ class WordEncoder:
                 index = np.insert(index, upto[1:] - upto[0], len(ids))
                 ids.append(np.array([end], "<u4").tobytes())
                 upto = upto + np.arange(len(upto))
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            length = np.array([len(x) // 4 for x in ids], np.int64)
-            begin = np.cumsum(length) - length
-            used = length[index]
-            total = np.concatenate([[0], np.cumsum(used)])
-            at = np.repeat(begin[index] - total[:-1], used) + np.arange(total[-1])
-            yield first, flat[at], total[upto - upto[0]]
+            flat, total = joined(ids, index)
+            yield first, flat, total[upto - upto[0]]

@@ -83,12 +83,25 @@ def test_alignment_of_odd_rows(odd):
     assert sum(r[1] > 0 for r in want) > 10 and any(r[0] == 21 and r[1] == 0 for r in want)
 
 
-def test_alignment_in_small_parts_and_pairs_in_many_batches(odd, monkeypatch):
+def test_alignment_in_small_runs(odd):
     whole = alignment.alignments(odd, BYTE_TOKENIZER, PIECE_TOKENIZER).drop("a", "b", "n")
-    small = alignment.alignments(odd, BYTE_TOKENIZER, PIECE_TOKENIZER, run=64, part=16).drop("a", "b", "n")
+    small = alignment.alignments(odd, BYTE_TOKENIZER, PIECE_TOKENIZER, run=64).drop("a", "b", "n")
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, small.collect()))
 
 
+def test_parts_are_encoded_as_in_their_text():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    marks = ["a", "Z", "é", "\u07ff", "\u00a0", "\u0085", "\u2003", "▁", "日", "\U0001f600", "'s", "'", ".", "7", "\n", "\t", "\x1c", "\x00", " ", " ", " ", " "]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 40))) for _ in range(3000)]
+    sides = alignment._sides(BYTE_TOKENIZER, PIECE_TOKENIZER)
+    assert all(s.parts for s in sides)
+    for side, found in zip(sides, alignment._encoded(sides, pa.array(texts, pa.large_string())), strict=True):
+        assert found.to_pylist() == [side.memory.encode([t])[0] if t else [] for t in texts]
+
+
 def test_partial_pair_counts_add_up(odd, monkeypatch):
     monkeypatch.setattr(alignment, "HELD_PAIRS", 4)
     batches = list(alignment._partial(b for b in pairs_of(3)))
