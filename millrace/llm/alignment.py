@@ -200,7 +200,10 @@ def _aligned(batch: pa.RecordBatch, sides: tuple[_Side, _Side], run: int) -> Ite
         )
         links = links.combine_chunks()
         key = links["key"].to_numpy()
-        ends = np.unique(key)
+        both = np.zeros(len(tables[0]), bool)
+        both[links["row_a"].to_numpy()] = True
+        ends = tables[0]["key"].to_numpy()[both]  # in order, since the tokens are
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         doc = np.arange(len(texts) + 1) * stride
         groups = [np.searchsorted(ends, t["key"].to_numpy()) for t in tables]
         upto = np.searchsorted(ends, doc)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,17 +46,22 @@ class Memory:
         self.old: dict[str, bytes] = {}
 
     def ids(self, words: list[str]) -> list[bytes]:
-        """``<u4`` bytes of the ids of each of different words."""
+        """Bytes of the ids, 32 bits each, of each of different words."""
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        young.update((w, old[w]) for w in words if w not in young and w in old)
-        found, new = {}, [w for w in words if w not in young]
+        found, new = {}, []
+        for word in words:
+            if word not in young:
+                if word in old:
+                    young[word] = old[word]
+                else:
+                    new.append(word)
         for first in range(0, len(new), 50_000):
             some = new[first : first + 50_000]
             for word, ids in zip(some, self.encode(some), strict=True):
-                (young if len(word) <= LONG_WORD else found)[word] = np.array(ids, "<u4").tobytes()
-        return [young[w] if w in young else found[w] for w in words]
+                (young if len(word) <= LONG_WORD else found)[word] = array("I", ids).tobytes()
+        return [young[w] if w in young else found[w] for w in words] if found else [young[w] for w in words]
 
 
 class WordEncoder:
