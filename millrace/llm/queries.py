@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import alignment, audit, dedup, language, lengths, licenses, maxscore, mixing, packing, pii, toxicity, vptree
+from millrace.llm import alignment, audit, dedup, language, lengths, licenses, maxscore, mixing, packing, pii, toxicity, urls, vptree
 from millrace.llm.streams import table
 
 #: Vocabulary files of public tokenizers, where the installed package keeps them.
@@ -148,3 +148,9 @@ def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet")
+
+
+@query("op12_url_filters")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages).select("page_id", "host", "path", "rule", "verdict")
