@@ -87,32 +87,31 @@ def test_smaller_ids_that_come_later_take_counts_back(spark, labels, tmp_path, d
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id or 0), reverse=descending)
     for first in range(0, len(rows), 20):
         spark.createDataFrame(rows[first : first + 20], docs.schema).coalesce(1).write.mode("append").parquet(path)
-    counted = audit.counters(spark, path, labels[0], batch_bytes=1)
+    counted = audit.counters(spark, path, labels[0], batches=100)
     want = [(r.doc_id, r.text, r.source) for r in rows]
     assert found(audit.interactions(counted)) == brute(want, labels[1])
 
 
-def test_state_of_a_text():
-    import pandas as pd
-
-    class State:
-        exists, get = False, None
-
-        def update(self, value):
-            self.exists, self.get = True, value
-
-    def rows(*some):
-        return iter([pd.DataFrame(some, columns=["how", "doc_id", "part", "mask", "good", "toxic", "n"])])
+def test_moves_of_a_text(spark):
+    empty = spark.createDataFrame([], f"text_key binary, doc_id long, {audit.CHANGES}")
 
     def step(state, *some):
-        (out,) = audit._retracted((b"k",), rows(*some), state)
-        return sorted(out.itertuples(index=False, name=None))
-
-    state = State()
-    assert step(state, (1, 9, "p", 1, 0, 0, 2), (0, 0, "p", 1, 0, 0, 3)) == [("p", 1, 0, 0, 5)]
-    assert step(state, (1, 12, "q", 1, 1, 0, 1), (2, 0, "q", 1, 0, 0, 4)) == [("q", 17, 0, 0, 4), ("q", 17, 1, 0, 1)]
-    assert step(state, (1, 7, "q", 1, 0, 1, 1)) == [("p", 1, 0, 0, -2), ("p", 17, 0, 0, 2), ("q", 1, 0, 1, 1)]
-    assert step(state, (1, 7, "p", 1, 0, 1, 1)) == [("p", 1, 0, 1, 1)]
+        rows = spark.createDataFrame([(b"k", *r) for r in some], audit._PARTIAL)
+        moved = audit.moves(rows, state)
+        added = moved.where("first").select("text_key", "doc_id", "part", "mask", "good", "toxic", "n")
+        return state.union(added), sorted(tuple(r) for r in moved.select("part", "mask", "good", "toxic", "n").collect())
+
+    state, got = step(empty, (1, 9, "p", 1, 0, 0, 2), (0, 0, "p", 1, 0, 0, 3))
+    assert got == [("p", 1, 0, 0, 2), ("p", 1, 0, 0, 3)]
+    state, got = step(state, (1, 12, "q", 1, 1, 0, 1), (2, 0, "q", 1, 0, 0, 4))
+    assert got == [("q", 17, 0, 0, 4), ("q", 17, 1, 0, 1)]
+    state, got = step(state, (1, 7, "q", 1, 0, 1, 1))
+    assert got == [("p", 1, 0, 0, -2), ("p", 17, 0, 0, 2), ("q", 1, 0, 1, 1)]
+    state, got = step(state, (1, 7, "p", 1, 0, 1, 1), (1, 9, "p", 1, 0, 0, 1))
+    assert got == [("p", 1, 0, 1, 1), ("p", 17, 0, 0, 1)]
+    assert step(state, (1, 3, "p", 1, 0, 1, 1))[1] == [
+        ("p", 1, 0, 1, -1), ("p", 1, 0, 1, 1), ("p", 17, 0, 1, 1), ("q", 1, 0, 1, -1), ("q", 17, 0, 1, 1)
+    ]
 
 
 def test_audit_of_no_rows(spark, labels, tmp_path):
