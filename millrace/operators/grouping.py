@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import BLOCK, HOT_ROWS, with_blocks
+from millrace.operators.ordered import row_numbers, with_blocks
 
 CHUNK = "chunk"
+#: Values of one list; a larger group comes as several.
+PIECE = 10_000
 
 
 def value_lists(
@@ -18,40 +20,37 @@ def value_lists(
     position: Column,
     value: Column,
     name: str,
-    limit: int = HOT_ROWS,
+    piece: int = PIECE,
     partitions: int | None = None,
+    cuts: int | None = None,
 ) -> DataFrame:
-    """All values of each key, ordered by the integer ``position``.
+    """All values of each key, ordered by ``position`` and then by value, in lists of ``piece`` values.
 
-    A group of at most ``limit`` rows is one list. A larger one comes as several
-    rows with ``chunk`` 0, 1, 2 ..., which joined in order are the whole list, so
-    no task ever holds more than a piece of it. ``partitions`` sets how many tasks
-    do the grouping.
+    Row number r of a group, from 1, is in the list with ``chunk`` floor((r - 1) / piece);
+    lists joined in order of chunk are the whole, so no task ever holds more than a
+    piece of it. Null values are left out of their list. ``partitions`` sets how many
+    tasks do the grouping, ``cuts`` into how many blocks the numbering is cut.
     """
-    pieces = with_blocks(
-        df.select(*keys, position.alias("_at"), value.alias("_value")), keys, F.col("_at"), limit
-    )
-    blocked = BLOCK in pieces.columns
+    rows = df.select(*keys, position.alias("_at"), value.alias("_value"))
+    numbered = row_numbers(with_blocks(rows, keys, F.col("_at"), cuts), keys, ["_at", "_value"], "_number")
+    pieces = numbered.withColumn(CHUNK, F.floor((F.col("_number") - 1) / piece))
     if partitions:
-        pieces = pieces.repartition(partitions, *keys, *([BLOCK] if blocked else []))
-    chunk = F.coalesce(F.col(BLOCK), F.lit(0)) if blocked else F.lit(0)
+        pieces = pieces.repartition(partitions, *keys, CHUNK)
     return (
-        pieces.groupBy(*keys, *([BLOCK] if blocked else []))
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "_value"))).alias("_pairs"))
-        .select(*keys, chunk.cast("long").alias(CHUNK), F.col("_pairs._value").alias(name))
+        pieces.groupBy(*keys, CHUNK)
+        .agg(F.sort_array(F.collect_list(F.struct("_number", "_value"))).alias("_pairs"))
+        .select(*keys, CHUNK, F.filter(F.col("_pairs._value"), lambda v: v.isNotNull()).alias(name))
     )
 
 
-def partition_lists(
-    df: DataFrame, key: str, partition: Column, partitions: int, limit: int = HOT_ROWS
-) -> DataFrame:
-    """Keys held by each partition, in key order, in pieces of ``limit``."""
+def partition_lists(df: DataFrame, key: str, partition: Column, partitions: int, piece: int = PIECE) -> DataFrame:
+    """Keys held by each of ``partitions`` partitions, in key order, in lists of ``piece``, numbered from 0."""
     index_in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return (
         df.select(F.col(key), partition.cast("int").alias("partition"))
         .repartitionById(partitions, F.col("partition"))
         .sortWithinPartitions("partition", key)
-        .withColumn(CHUNK, F.floor(index_in_partition / limit))
+        .withColumn(CHUNK, F.floor(index_in_partition / piece))
         .groupBy("partition", CHUNK)
         .agg(F.sort_array(F.collect_list(key)).alias("keys"))
     )

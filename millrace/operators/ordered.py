@@ -1,10 +1,12 @@
-"""Ordered scans (as-of, running sums, lag) that survive hot groups.
-
-A plain window puts each group into one task. Here a group with more than
-``limit`` rows is cut into blocks along its integer position; each block is
-scanned by itself, and what the earlier blocks of the group add up to is carried
-in from a small table of block totals. Groups below the limit are scanned whole
-and take no part in the carry.
+"""Ordered scans (as-of, running sums, lag) as a parallel prefix scan.
+
+A plain window puts each group into one task. Here the rows are cut at sampled
+places of the order by group and position, as a range partitioner would, into about
+as many blocks as there are shuffle tasks. Each block is scanned by itself, and what
+the earlier blocks of its group add up to is carried in from a table of block
+totals. A group that no cut falls into is scanned whole and takes no part in the
+carry. There is one plan for every table, and none of it runs before the result is
+asked for.
 """
 
 from __future__ import annotations
@@ -15,50 +17,60 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import cut
-
 BLOCK = "block"
-HOT_ROWS = 1_000_000
 
 
 def with_blocks(
-    df: DataFrame, keys: Sequence[str], position: Column, limit: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], position: Column, pieces: int | None = None
 ) -> DataFrame:
-    """Add ``block`` when some group has more than ``limit`` rows.
-
-    ``position`` is an integer that never falls along the order of the scan.
-    ``block`` is null in groups below the limit, else 0, 1, 2 ...; blocks of a
-    group are equally wide and sized for ``limit`` rows on average.
-
-    Hot groups are looked up first, in one aggregation over the key columns, and
-    written as a table of at most rows / limit rows. If there are none the frame
-    comes back unchanged; otherwise the planner knows the size of the table it
-    joins and broadcasts it or not.
+    """Add ``block``: null in a group without a cut, else 0, 1, 2 ... along ``position``.
+
+    ``position`` is anything sortable that never falls along the order of the scan.
+    Rows of equal position are in one block. The cuts are the ``pieces`` rows (by
+    default the session's number of shuffle partitions) with the smallest hashes, a
+    sample that depends on the rows alone, so every scan of the plan makes the same
+    blocks. Large groups get many cuts, wherever in them the rows are; a group without
+    one has about rows / pieces rows at most. The table of cuts has ``pieces`` rows at
+    most, so it is broadcast. Looking for them takes no sort: each core keeps its
+    ``pieces`` smallest, and one task reads those.
     """
-    placed = df.withColumn("_position", position.cast("long"))
-    hot = (
-        placed.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min("_position").alias("_low"),
-            F.max("_position").alias("_high"),
-        )
-        .where(F.col("_rows") > limit)
-        .select(
-            *[F.col(key).alias(f"_hot_{key}") for key in keys],
-            "_low",
-            F.expr(f"greatest(1, cast(ceil((_high - _low + 1) / (_rows / {limit})) as long))").alias("_width"),
-        )
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = (
+        df.select(*keys, position.alias("_cut"))
+        .coalesce(cores)
+        .orderBy(F.xxhash64(*keys, "_cut"), *keys, "_cut")
+        .limit(pieces)
+        .groupBy(*[F.col(key).alias(f"_cut_{key}") for key in keys])
+        .agg(F.sort_array(F.collect_set(F.struct("_cut"))).alias("_cuts"))
     )
-    hot = cut(hot, "hot-groups")
-    if hot.isEmpty():
-        return df
-    same_keys = [placed[key].eqNullSafe(hot[f"_hot_{key}"]) for key in keys]
-    return placed.join(hot, same_keys, "left").select(
-        *[F.col(c) for c in df.columns], F.expr("(_position - _low) div _width").alias(BLOCK)
+    same_keys = [F.col(key).eqNullSafe(F.col(f"_cut_{key}")) for key in keys]
+    placed = df.withColumn("_place", F.struct(position.alias("_cut")))
+    return placed.join(F.broadcast(cuts), same_keys, "left").select(
+        *[F.col(c) for c in df.columns],
+        F.when(F.col("_cuts").isNotNull(), _cuts_below(F.col("_cuts"), F.col("_place"))).alias(BLOCK),
     )
 
 
+def _cuts_below(cuts: Column, place: Column) -> Column:
+    """How many of the sorted cuts are at or before ``place``, by halving the range in question."""
+    halvings = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+
+    def halve(range_: Column, _: Column) -> Column:
+        low, high = range_["low"], range_["high"]
+        middle = F.shiftright(low + high, 1)
+        below = F.get(cuts, middle) <= place
+        return F.when(low >= high, range_).otherwise(
+            F.struct(
+                F.when(below, middle + 1).otherwise(low).alias("low"),
+                F.when(below, high).otherwise(middle).alias("high"),
+            )
+        )
+
+    whole = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+    return F.aggregate(halvings, whole, halve, lambda range_: range_["low"])
+
+
 @dataclass(frozen=True)
 class Running:
     """A value over the rows before the current one, or up to it if ``inclusive``.
@@ -74,9 +86,10 @@ class Running:
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], **values: Running
 ) -> DataFrame:
-    """Add one running value per keyword to ``df``, as returned by ``with_blocks``.
+    """Add one running value per keyword to ``df``, as returned by ``with_blocks`` (or as one scan a group without it).
 
-    A null key is a group like any other. The scan and the carry share one shuffle by keys and block.
+    A null key is a group like any other. The scan and the carry share one shuffle by
+    keys and block; the carry has a row for each block that a cut makes.
     """
     pieces = [*keys, BLOCK] if BLOCK in df.columns else list(keys)
     scan = Window.partitionBy(*pieces).orderBy(*order)

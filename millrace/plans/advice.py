@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import HOT_ROWS, Running, running, with_blocks
+from millrace.operators.ordered import Running, running, with_blocks
 
 # The kinds of advice.
 ITERATION = "Iteration"
 MULTI_ACTION = "MultiAction"
 
 
-def loop_scopes(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def loop_scopes(statements: DataFrame, pieces: int | None = None) -> DataFrame:
     """Loops with their extent, their outermost loop's start and whether they assign.
 
     A scope belongs to the latest earlier scope of each lower depth, so a loop
@@ -30,7 +30,7 @@ def loop_scopes(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     levels = scopes.withColumn("level", F.explode(F.sequence(F.lit(1).cast("long"), F.col("depth"))))
     own = F.when(F.col("level") == F.col("depth"), F.struct("scope", "start_pos"))
     nested = running(
-        with_blocks(levels, ["job", "level"], F.col("scope"), limit),
+        with_blocks(levels, ["job", "level"], F.col("scope"), pieces),
         ["job", "level"],
         ["scope"],
         _loop=Running("last", own, inclusive=True),
@@ -127,7 +127,7 @@ def cover_state(statements: DataFrame) -> DataFrame:
 
 
 def uncovered_invariants(
-    invariants: DataFrame, statements: DataFrame, limit: int = HOT_ROWS
+    invariants: DataFrame, statements: DataFrame, pieces: int | None = None
 ) -> DataFrame:
     """Invariants not already covered before their outermost loop.
 
@@ -139,7 +139,7 @@ def uncovered_invariants(
     state = F.when(F.col("_probe") == 0, F.struct("pos", "covered"))
     return (
         running(
-            with_blocks(both, ["job", "name"], F.col("pos"), limit),
+            with_blocks(both, ["job", "name"], F.col("pos"), pieces),
             ["job", "name"],
             ["pos", "_probe"],
             _state=Running("last", state),

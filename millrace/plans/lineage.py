@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.grouping import CHUNK, value_lists
-from millrace.operators.ordered import BLOCK, HOT_ROWS, Running, row_numbers, running, with_blocks
-from millrace.plans.graph import closure
+from millrace.operators.grouping import CHUNK, PIECE, value_lists
+from millrace.operators.ordered import Running, row_numbers, running, with_blocks
+from millrace.plans.graph import reach
 from millrace.session import cut
 
 
-def bindings(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def bindings(statements: DataFrame, pieces: int | None = None) -> DataFrame:
     """Every name a statement makes or mentions, with the version it binds to.
 
     ``role`` is ``version`` for the left side of a declaration or assignment,
@@ -33,15 +33,15 @@ def bindings(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
         .when(F.col("kind") == "use", F.array(slot("read", name)))
         .when(F.col("kind") == "action", F.concat(F.array(slot("receiver", name)), slots_of("argument")))
     )
-    placed = with_blocks(statements, ["job"], F.col("pos"), limit)
-    kept = ["job", "pos", "line", "kind", "call", *[c for c in placed.columns if c == BLOCK]]
-    rows = placed.select(*kept, F.explode(slots).alias("slot")).select(
+    kept = ["job", "pos", "line", "kind", "call"]
+    rows = statements.select(*kept, F.explode(slots).alias("slot")).select(
         *kept, "slot.*", (F.col("slot.role") == "version").cast("int").alias("_added")
     )
     is_version = F.col("role") == "version"
+    keys = ["job", "name"]
     scanned = running(
-        rows,
-        ["job", "name"],
+        with_blocks(rows, keys, F.col("pos"), pieces),
+        keys,
         ["pos", "_added"],
         _first=Running("min", F.when(is_version & (F.col("kind") == "def"), F.col("pos"))),
         _newest=Running("max", F.when(is_version, F.col("pos"))),
@@ -84,9 +84,9 @@ def sink_edges(bound: DataFrame) -> DataFrame:
     )
 
 
-def action_timeline(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def action_timeline(statements: DataFrame, pieces: int | None = None) -> DataFrame:
     actions = statements.where(F.col("kind") == "action").select("job", "pos", "call", "line")
-    return row_numbers(with_blocks(actions, ["job"], F.col("pos"), limit), ["job"], ["pos"], "seq").select(
+    return row_numbers(with_blocks(actions, ["job"], F.col("pos"), pieces), ["job"], ["pos"], "seq").select(
         "job", "seq", "call", "line"
     )
 
@@ -106,14 +106,9 @@ def reachable_sinks(inner: DataFrame, sinks: DataFrame, roots: DataFrame) -> Dat
     A version counts once however many paths lead to it; two edges into the same
     sink give two rows.
     """
-    below = closure(inner.select("job", "src", "dst"), within=["job"]).select(
-        "job", F.col("src").alias("root"), F.col("dst").alias("src")
-    )
     starts = roots.select("job", F.col("node_id").alias("root"))
-    reached = below.join(starts, ["job", "root"], "left_semi").unionByName(
-        starts.withColumn("src", F.col("root"))
-    )
-    return reached.join(sinks, ["job", "src"]).select(
+    below = reach(inner.select("job", "src", "dst"), starts, within=["job"])
+    return below.withColumnRenamed("node", "src").join(sinks, ["job", "src"]).select(
         "job", "root", F.col("dst").alias("sink"), "call", "line"
     )
 
@@ -125,7 +120,7 @@ def repeat_expand(statements: DataFrame) -> DataFrame:
     )
 
 
-def version_runs(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def version_runs(statements: DataFrame, pieces: int | None = None) -> DataFrame:
     """Versions of each name in walk order with their number in a run on one line.
 
     A version starts at -1 and adds one for each step in which the version before
@@ -134,8 +129,8 @@ def version_runs(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     made = statements.where(F.col("kind").isin("def", "write")).select(
         "job", "scope", "depth", "pos", "line", "name", "kind"
     )
-    walked = repeat_expand(with_blocks(made, ["job"], F.col("scope"), limit)).drop("depth")
     keys, order = ["job", "name"], ["scope", "pass", "pos"]
+    walked = with_blocks(repeat_expand(made).drop("depth"), keys, F.struct(*order), pieces)
     scanned = running(
         walked,
         keys,
@@ -154,12 +149,12 @@ def version_runs(statements: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
 
 
 def node_summary(
-    made: DataFrame, edges: DataFrame, sinks: DataFrame, reached: DataFrame, limit: int = HOT_ROWS
+    made: DataFrame, edges: DataFrame, sinks: DataFrame, reached: DataFrame, piece: int = PIECE
 ) -> DataFrame:
     """Text lists of each version's children and, for roots, of the sinks below.
 
     Items read ``name_line``; a sink's name is its call with ``0`` in front when it
-    is a child. An empty list prints as ``]``. Long lists come in ``chunk`` pieces.
+    is a child. An empty list prints as ``]``. Lists come in pieces of ``piece`` items, numbered by ``chunk``.
     """
     child = edges.join(
         made.select("job", F.col("node_id").alias("dst"), "name", "line"), ["job", "dst"]
@@ -177,7 +172,7 @@ def node_summary(
         F.col("sink").alias("at"), F.concat_ws("_", "call", "line").alias("item"),
     )
     items = cut(child.unionByName(sink_child).unionByName(action), "items")
-    lists = value_lists(items, ["job", "node_id", "list"], F.col("at"), F.col("item"), "items", limit)
+    lists = value_lists(items, ["job", "node_id", "list"], F.col("at"), F.col("item"), "items", piece)
     both = made.select(
         "job", "node_id", "name", "line", F.explode(F.array(F.lit("children"), F.lit("actions"))).alias("list")
     )

@@ -6,21 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import ACTIONS, COVER_CALL, DATASET_TYPE, matching_tokens, whole_token
-from millrace.operators.ordered import HOT_ROWS, Running, running, with_blocks
+from millrace.operators.ordered import Running, running, with_blocks
 from millrace.plans.advice import ITERATION, MULTI_ACTION
 
 # Fixed value: the call that covers a dataset.
 COVER = ".cache()"
 
 
-def patch_lines(lines: DataFrame, advice: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def patch_lines(lines: DataFrame, advice: DataFrame, pieces: int | None = None) -> DataFrame:
     """``lines(path, line_no, text)`` with ``advice(path, line_no, kind, name)`` applied.
 
     Loop advice goes before the first ``;`` of its line. Multi-use advice becomes a
     line of its own before, with the same indent. Lines are numbered anew. A line
     with loop advice and no ``;`` stays as it is and is flagged.
     """
-    advised = with_blocks(lines, ["path"], F.col("line_no"), limit).join(
+    advised = with_blocks(lines, ["path"], F.col("line_no"), pieces).join(
         advice.select("path", "line_no", "kind", "name"), ["path", "line_no"], "left"
     )
     loop = F.col("kind").eqNullSafe(F.lit(ITERATION))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import HOT_ROWS, row_numbers, with_blocks
+from millrace.operators.ordered import row_numbers, with_blocks
 from millrace.session import cut
 
 # Fixed values of the trace read out of an event table.
@@ -28,7 +28,7 @@ SCOPE_DEPTHS = 3
 LINE_ROWS = 2
 
 
-def from_events(events: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def from_events(events: DataFrame, pieces: int | None = None) -> DataFrame:
     """Read each user's events as the statements of one job."""
     k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
     kind = F.create_map(*[F.lit(x) for pair in KIND_OF_EVENT.items() for x in pair])
@@ -38,7 +38,7 @@ def from_events(events: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
         F.try_element_at(kind, F.col("event_type")).alias("kind"),
         k.alias("k"),
     )
-    numbered = row_numbers(with_blocks(rows, ["job"], F.col("pos"), limit), ["job"], ["pos"], "rn")
+    numbered = row_numbers(with_blocks(rows, ["job"], F.col("pos"), pieces), ["job"], ["pos"], "rn")
     earlier = F.col("rn") - 1
     scope = F.floor(earlier / SCOPE_ROWS)
     return cut(

@@ -52,11 +52,11 @@ def count_sampled(spark, sf_dir):
 )
 def approx_distinct(spark, sf_dir):
     """The exact number, and whether the estimate lies within three standard deviations of it."""
-    lines = table(spark, sf_dir, "lineitem")
-    exact = lines.agg(F.count_distinct("l_partkey").alias("exact"))
-    estimate = actions.approx_distinct(lines, "l_partkey", error=0.05)
-    close = F.abs(F.col("n_distinct") - F.col("exact")) <= 3 * 0.05 * F.col("exact")
-    return estimate.join(exact).select(F.col("exact").alias("n_distinct"), close.alias("close"))
+    both = table(spark, sf_dir, "lineitem").agg(
+        F.count_distinct("l_partkey").alias("n_distinct"), F.approx_count_distinct("l_partkey", 0.05).alias("estimate")
+    )
+    close = F.abs(F.col("estimate") - F.col("n_distinct")) <= 3 * 0.05 * F.col("n_distinct")
+    return both.select("n_distinct", close.alias("close"))
 
 
 @query("count_by_key", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")

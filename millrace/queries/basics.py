@@ -362,6 +362,10 @@ def join_inner(spark, sf_dir):
     return relational.inner_join(orders, lines, ["o_orderkey"])
 
 
+#: So few that some orders of the test tables get several salts.
+ROWS_PER_SALT = 4
+
+
 @query(
     "salted_join",
     """SELECT o_orderkey, o_custkey, l_linenumber, l_partkey
@@ -372,7 +376,7 @@ def salted_join(spark, sf_dir):
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    hot = relational.hot_keys(lines, "o_orderkey", 1_000_000)
+    hot = relational.hot_keys(lines, "o_orderkey", ROWS_PER_SALT)
     large = relational.salted(lines, hot, "o_orderkey", F.col("l_partkey"))
     small = relational.replicated(orders, hot, "o_orderkey")
     return relational.inner_join(large, small, ["o_orderkey", "salt"]).drop("salt")
@@ -398,19 +402,37 @@ def distinct_pairs(spark, sf_dir):
     return part_supplier(spark, sf_dir).distinct()
 
 
-@query(
-    "group_values",
-    """SELECT l_suppkey, CAST(0 AS BIGINT) AS chunk, string_agg(l_partkey, ',' ORDER BY l_orderkey * 8 + l_linenumber, l_partkey) AS parts
-       FROM lineitem GROUP BY l_suppkey""",
-)
-def group_values(spark, sf_dir):
+#: Values of one list, so few that the test tables give several lists a key.
+LIST_PIECE = 100
+REDUCERS = 6
+
+GROUPED = f"""WITH numbered AS (
+        SELECT l_suppkey, l_partkey, row_number() OVER (
+            PARTITION BY l_suppkey ORDER BY l_orderkey * 8 + l_linenumber, l_partkey) AS number FROM lineitem
+    ) SELECT l_suppkey, CAST((number - 1) // {LIST_PIECE} AS BIGINT) AS chunk,
+        string_agg(l_partkey, ',' ORDER BY number) AS parts"""
+
+
+def _parts_of_suppliers(spark, sf_dir, partitions=None):
     lists = grouping.value_lists(
         table(spark, sf_dir, "lineitem"), ["l_suppkey"],
-        F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_partkey"), "parts",
+        F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_partkey"), "parts", LIST_PIECE, partitions,
     )
     return lists.withColumn("parts", F.array_join(F.col("parts").cast("array<string>"), ","))
 
 
+@query("group_values", f"{GROUPED} FROM numbered GROUP BY ALL")
+def group_values(spark, sf_dir):
+    return _parts_of_suppliers(spark, sf_dir)
+
+
+@query("group_values_in_tasks", f"{GROUPED}, true AS in_tasks FROM numbered GROUP BY ALL")
+def group_values_in_tasks(spark, sf_dir):
+    """The same by a given number of grouping tasks; ``in_tasks`` says that the row comes from one of them."""
+    lists = _parts_of_suppliers(spark, sf_dir, REDUCERS)
+    return lists.withColumn("in_tasks", F.spark_partition_id() < REDUCERS)
+
+
 @query(
     "reduce_by_key",
     "SELECT l_partkey, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_partkey",
@@ -456,20 +478,21 @@ def vector_sum(spark, sf_dir):
 
 
 MD5_BUCKET = "CAST('0x' || substr(md5({seed} || ':' || {key}), 1, 8) AS BIGINT) % {n}"
-MAX_PARTITIONS = 4096
+PARTITIONS = 16
 
 
 @query(
     "rows_by_partition",
-    f"""WITH p AS (SELECT CAST(least({MAX_PARTITIONS}, ceil(count(*) / 5000)) AS BIGINT) AS parts FROM orders)
-    SELECT CAST({MD5_BUCKET.format(seed="'7'", key="o_orderkey", n="parts")} AS INTEGER) AS partition,
-        CAST(0 AS BIGINT) AS chunk, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS keys
-    FROM orders, p GROUP BY 1""",
+    f"""WITH placed AS (
+        SELECT CAST({MD5_BUCKET.format(seed="'7'", key="o_orderkey", n=PARTITIONS)} AS INTEGER) AS partition, o_orderkey
+        FROM orders
+    ), numbered AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY o_orderkey) AS number FROM placed)
+    SELECT partition, CAST((number - 1) // {LIST_PIECE} AS BIGINT) AS chunk, string_agg(o_orderkey, ',' ORDER BY number) AS keys
+    FROM numbered GROUP BY ALL""",
 )
 def rows_by_partition(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    partitions = min(MAX_PARTITIONS, -(-count_rows(orders).first().n // 5000))
     lists = grouping.partition_lists(
-        orders, "o_orderkey", bucket(7, F.col("o_orderkey"), partitions), partitions
+        orders, "o_orderkey", bucket(7, F.col("o_orderkey"), PARTITIONS), PARTITIONS, LIST_PIECE
     )
     return lists.withColumn("keys", F.array_join(F.col("keys").cast("array<string>"), ","))

@@ -139,6 +139,10 @@ def reachable_sinks(spark, sf_dir):
     return lineage.reachable_sinks(inner, sinks, roots)
 
 
+#: Items of one list, so few that some versions have several.
+SUMMARY_PIECE = 4
+
+
 @query(
     "node_summary",
     f"""WITH RECURSIVE {REACHED}, items AS (
@@ -146,15 +150,18 @@ def reachable_sinks(spark, sf_dir):
         FROM inner_edges e JOIN nodes n ON e.job = n.job AND e.dst = n.node_id
         UNION ALL SELECT job, src, 'children', dst, '0' || call || '_' || line FROM sinks
         UNION ALL SELECT job, root, 'actions', sink, call || '_' || line FROM reached
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY job, node_id, list ORDER BY place, item) AS number FROM items
     ), lists AS (
-        SELECT job, node_id, list, '[' || string_agg(item, ',' ORDER BY place) || ']' AS items FROM items GROUP BY ALL
+        SELECT job, node_id, list, CAST((number - 1) // {SUMMARY_PIECE} AS BIGINT) AS chunk,
+            '[' || string_agg(item, ',' ORDER BY number) || ']' AS items FROM numbered GROUP BY ALL
     ), wanted AS (SELECT *, unnest(['children', 'actions']) AS list FROM nodes)
-    SELECT b.job, b.node_id, b.name, b.line, b.list, CAST(0 AS BIGINT) AS chunk, coalesce(l.items, ']') AS items
+    SELECT b.job, b.node_id, b.name, b.line, b.list, coalesce(l.chunk, 0) AS chunk, coalesce(l.items, ']') AS items
     FROM wanted b LEFT JOIN lists l ON b.job = l.job AND b.node_id = l.node_id AND b.list = l.list""",
 )
 def node_summary(spark, sf_dir):
     made, inner, sinks, roots = graph_parts(spark, sf_dir)
-    return lineage.node_summary(made, inner, sinks, lineage.reachable_sinks(inner, sinks, roots))
+    return lineage.node_summary(made, inner, sinks, lineage.reachable_sinks(inner, sinks, roots), SUMMARY_PIECE)
 
 
 @query(

@@ -78,15 +78,9 @@ def pagerank(spark, sf_dir):
 
 
 def order_chain(spark, sf_dir):
-    """Edges from each order to the customer's next one by date, then order number.
-
-    The position of an order leaves as many places per day as there are order
-    numbers, so positions are spread evenly however many orders there are.
-    """
+    """Edges from each order to the customer's next one by date, then order number."""
     orders = table(spark, sf_dir, "orders")
-    per_day = orders.agg(F.max("o_orderkey")).first()[0] + 1
-    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
-    position = day * F.lit(per_day) + F.col("o_orderkey")
+    position = F.struct(F.col("o_orderdate").cast("date"), "o_orderkey")
     return graph.successor_edges(orders, "o_custkey", position, "o_orderkey")
 
 

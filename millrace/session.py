@@ -61,3 +61,39 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, label: str, *key: str, buckets: int | None = None, into: str | None = None) -> str:
+    """Store ``df`` in the shared folder as a table dealt by ``key``, and name it.
+
+    Tables dealt by keys of the same kind into as many buckets (by default the session's
+    number of shuffle partitions) join without a shuffle. With ``into`` the rows are
+    added to that table. ``forget`` it when nothing reads it any more.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = into or f"millrace_{label}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *key).write.mode("append" if into else "errorifexists")
+    if not into:
+        writer = writer.option("path", f"{shared_dir(spark)}/millrace/{name}")
+    writer.format("parquet").bucketBy(buckets, *key).sortBy(*key).saveAsTable(name)
+    return name
+
+
+def location(spark: SparkSession, name: str) -> str:
+    """Where a table of ``stored_by`` lies."""
+    return f"{shared_dir(spark)}/millrace/{name}"
+
+
+def forget(spark: SparkSession, name: str, keep_files: bool = False) -> None:
+    """Take a table of ``stored_by`` out of the catalog and, if wanted, its files out of the shared folder."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if not keep_files:
+        remove(spark, location(spark, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what ``cut`` or ``stored_by`` wrote there."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,9 +1,12 @@
 """Physical plans keep the shape that lets them grow."""
 
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import HOT_ROWS, Running, running, with_blocks
+from millrace.operators import grouping
+from millrace.operators.ordered import Running, running, with_blocks
 from millrace.plans import graph
 from millrace.queries import QUERIES
 from millrace.session import CHECKPOINT_DIR, shared_dir
@@ -34,10 +37,9 @@ def test_shuffles(spark, sf_dir, name, shuffles):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_crosses_or_sorts_globally(spark, sf_dir, name):
-    if name in ("kmeans_model_roundtrip", "kmeans_ml", "pagerank", "transitive_closure", "node_summary"):
-        pytest.skip("the frame returned is a small table already written")
     plan = plan_of(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "rangepartitioning" not in plan
 
 
 @pytest.mark.parametrize(
@@ -51,38 +53,74 @@ def test_scans_read_only_what_they_use(spark, sf_dir, name, columns):
 
 def test_scan_and_carry_share_one_shuffle(spark):
     rows = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
-    for limit, joins in ((HOT_ROWS, 0), (100, 2)):
-        scanned = running(with_blocks(rows, ["k"], F.col("id"), limit), ["k"], ["id"], n=Running("sum", F.lit(1)))
-        plan = plan_of(scanned)
-        assert plan.count("Join") >= joins
-        assert plan.count("Window") == (2 if joins else 1)
-        window = plan.index("Window")
-        assert "Exchange" not in plan[:window]
-
+    scanned = running(with_blocks(rows, ["k"], F.col("id")), ["k"], ["id"], n=Running("sum", F.lit(1)))
+    plan = plan_of(scanned)
+    assert plan.count("Window") == 2 and "TakeOrderedAndProject" in plan
+    assert "Exchange hashpartitioning(k" in plan and "Exchange" not in plan[: plan.index("Window")]
+    assert "rangepartitioning" not in plan
 
-def test_pagerank_rounds_do_not_shuffle_the_links(spark, monkeypatch):
-    plans = []
-    write = graph.cut
 
-    def record(df, label):
-        if label == "ranks":
-            plans.append(plan_of(df))
-        return write(df, label)
-
-    monkeypatch.setattr(graph, "cut", record)
-    pairs = spark.range(500).select((F.col("id") % 50).alias("src"), (F.col("id") % 37).alias("dst"))
+def test_scans_start_no_job_before_they_are_read(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
+    spark.sparkContext.setJobGroup("scan", "scan")
+    lists = grouping.value_lists(rows, ["k"], F.col("id"), F.col("id"), "ids")
+    scanned = running(with_blocks(rows, ["k"], F.col("id")), ["k"], ["id"], n=Running("sum", F.lit(1)))
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup("scan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(started) and scanned.columns and lists.columns
+
+
+@pytest.fixture
+def recorded(spark, monkeypatch):
+    """Plans of what the graph loops write, by label, with no table small enough to be broadcast."""
+    plans = defaultdict(list)
+    for name in ("cut", "stored_by"):
+        write = getattr(graph, name)
+
+        def record(df, label, *rest, write=write, **named):
+            plans[label].append(plan_of(df))
+            return write(df, label, *rest, **named)
+
+        monkeypatch.setattr(graph, name, record)
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
     spark.conf.set(threshold, "-1")
-    try:
-        graph.pagerank(pairs, 2)
-    finally:
-        spark.conf.set(threshold, before)
-    assert len(plans) == 2
-    for plan in plans:
-        join = plan.index("SortMergeJoin")
-        links = plan[join:plan.index("InMemoryTableScan", join)]
-        assert "Exchange" not in links and "Sort " not in links
+    yield plans
+    spark.conf.set(threshold, before)
+
+
+def test_pagerank_rounds_shuffle_neither_links_nor_ranks(spark, recorded):
+    pairs = spark.range(500).select((F.col("id") % 50).alias("src"), (F.col("id") % 37).alias("dst"))
+    graph.pagerank(pairs, 2, links_per_salt=5)
+    assert len(recorded["ranks"]) == 3
+    for plan in recorded["ranks"][1:]:
+        assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange") == 1
+        assert plan.index("Exchange") < plan.index("SortMergeJoin")
+
+
+def test_closure_rounds_shuffle_new_pairs_only(spark, recorded):
+    edges = spark.range(40).select(F.lit(1).alias("job"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    pairs = graph.closure(edges, within=["job"])
+    assert pairs.count() == 40 * 41 // 2
+    assert len(recorded["paths"]) == 7
+    for plan in recorded["paths"][1:]:
+        known = plan[plan.rindex("FileScan") :]
+        assert "Bucketed: true" in known or "millrace_known" in known
+        # One shuffle deals the heads to the tails, one the new pairs to the known ones.
+        assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_loops_leave_only_their_result(spark, tmp_path, monkeypatch):
+    from millrace import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    edges = spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.closure(edges).count() == 20 * 21 // 2
+    assert [p.name.split("_")[1] for p in (tmp_path / "millrace").iterdir()] == ["known"]
+    graph.pagerank(edges, 3)
+    left = sorted(p.name.split("_")[1] for p in (tmp_path / "millrace").iterdir())
+    assert left == ["known", "ranks"]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("millrace_")]
 
 
 def test_shared_dir_comes_from_the_session(spark):

@@ -48,7 +48,7 @@ def test_effects_see_every_row_once(spark):
 
 
 def test_partition_lists_in_pieces(spark):
-    lists = partition_lists(spark.range(100), "id", F.col("id") % 3, 3, limit=10).collect()
+    lists = partition_lists(spark.range(100), "id", F.col("id") % 3, 3, piece=10).collect()
     assert max(len(r["keys"]) for r in lists) == 10
     whole = {}
     for r in sorted(lists, key=lambda r: r.chunk):

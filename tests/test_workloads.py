@@ -70,11 +70,42 @@ def test_closure_of_a_long_chain_and_within_groups(spark):
     assert got.agg(F.max("hops")).first()[0] == 30
 
 
+def test_roots_of_a_long_chain_give_linear_output(spark, monkeypatch):
+    sizes = []
+    write = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, label: sizes.append((label, (out := write(df, label)).count())) or out)
+    chain = spark.range(3000).select(F.lit("a").alias("job"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    roots = spark.createDataFrame([("a", 0), ("b", 0)], "job string, root long")
+    got = graph.reach(chain, roots, within=["job"])
+    assert sorted((r.job, r.root, r.node) for r in got.collect()) == [*(("a", 0, k) for k in range(3001)), ("b", 0, 0)]
+    assert len(sizes) < 30 and max(n for _, n in sizes) <= 3002
+
+
+def test_reach_in_a_tangle_with_cycles_and_null_nodes(spark):
+    draw = random.Random(4)
+    edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(70)] + [(None, 1), (2, None), (3, 3)]
+    roots = [0, 1, 2, 3, 59, 77]
+    want = set()
+    for root in roots:
+        queue = [root]
+        while queue:
+            node = queue.pop()
+            if (root, node) not in want:
+                want.add((root, node))
+                queue += [b for a, b in edges if a == node and a is not None]
+    got = graph.reach(
+        spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(r,) for r in roots], "root long")
+    )
+    assert {(r.root, r.node) for r in got.collect()} == want
+    none = graph.reach(spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([(5,)], "root long"))
+    assert [(r.root, r.node) for r in none.collect()] == [(5, 5)]
+
+
 def test_successors_of_a_hot_group(spark):
     data = [(1 if i % 3 else 2 + i, i, 10 * i) for i in range(300)]
     df = spark.createDataFrame(data, "g long, pos long, key long")
     whole = graph.successor_edges(df, "g", F.col("pos"), "key")
-    pieces = graph.successor_edges(df, "g", F.col("pos"), "key", limit=11)
+    pieces = graph.successor_edges(df, "g", F.col("pos"), "key", pieces=100)
     assert rows(whole) == rows(pieces)
     assert whole.count() == 199
 
