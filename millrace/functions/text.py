@@ -6,10 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The access-log layout whose fields are extracted.
-ACCESS_LOG = (
-    r'^([\d.]+) (\S+) (\S+) \[([\w\d:/]+\s[+\-]\d{4})\] "(.+?)" '
-    r'(\d{3}) ([\d\-]+) "([^"]+)" "([^"]+)".*'
-)
+ACCESS_LOG = r'^([\d.]+) (\S+) (\S+) \[([\w\d:/]+\s[+\-]\d{4})\] "(.+?)" (\d{3}) ([\d\-]+) "([^"]+)" "([^"]+)".*'
 LOG_FIELDS = ("ip", "ident", "user", "time", "query", "status", "bytes", "referrer", "agent")
 
 # What counts as a dataset type, an action and a cover call.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ACTIONS, COVER_CALL, DATASET_TYPE, matching_tokens, whole_token
+from millrace.functions.program import program_marks
+from millrace.functions.text import matching_tokens
 from millrace.operators.ordered import Running, running, with_blocks
 from millrace.plans.advice import ITERATION, MULTI_ACTION
 
@@ -55,12 +56,13 @@ def mentions(lines: DataFrame, what: str, pattern: str, separator: str = r"\s+")
 
 
 def program_mentions(lines: DataFrame) -> DataFrame:
-    """Dataset types, action calls and cover calls in program text."""
-    covers = lines.where(F.col("text").rlike(COVER_CALL)).select(
-        "path", "line_no", F.lit("cover").alias("what"), F.col("text").alias("token")
-    )
-    return (
-        mentions(lines, "type", f"^{DATASET_TYPE}$")
-        .unionByName(mentions(lines, "action", whole_token(ACTIONS), r"[^A-Za-z0-9_]+"))
-        .unionByName(covers)
+    """``path, line_no, what, token, root``: dataset types, and action and cover calls with the root of their chain."""
+    return lines.select("path", "line_no", F.explode(program_marks(F.col("text"))).alias("found")).select(
+        "path", "line_no", "found.*"
     )
+
+
+def actions_per_root(lines: DataFrame) -> DataFrame:
+    """``path, root, actions``: how many actions the call chains of each leftmost name end or pass."""
+    calls = program_mentions(lines).where((F.col("what") == "action") & F.col("root").isNotNull())
+    return calls.groupBy("path", "root").agg(F.count(F.lit(1)).alias("actions"))

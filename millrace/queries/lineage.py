@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ACTIONS, COVER_CALL, DATASET_TYPE, chain_root, whole_token
+from millrace.functions.text import chain_root, whole_token
 from millrace.plans import advice, lineage, patch, statements
 from millrace.queries.basics import document_lines
 from millrace.queries.registry import query, table
@@ -396,20 +396,49 @@ def pattern_mentions(spark, sf_dir):
     return found.groupBy(F.col("path").alias("doc_id"), "token").agg(F.count(F.lit(1)).alias("n"))
 
 
+def spaced_program(spark, sf_dir):
+    """A line for each statement, with blanks in type arguments and names of actions where nothing is called."""
+    first = F.col("inputs")[0]
+    part = (
+        F.when(
+            (F.col("kind") == "def") & (F.col("pos") % 2 == 0),
+            F.format_string("JavaPairRDD<String, Map<Long, List< ? extends Integer >>> %s = %s.mapValues(count);", "name", first),
+        )
+        .when(F.col("kind") == "def", F.format_string("JavaDoubleRDD %s = new first(%s).top;", "name", first))
+        .when(F.col("kind") == "write", F.format_string('%s = %s.filter(x -> x.first > 0 && "take()" != x); // count()', "name", first))
+        .when(F.col("kind") == "use", F.format_string('show(%s.max, "%s.count()");', "name", "name"))
+        .when(
+            F.col("kind") == "action",
+            F.format_string("long n = %s.union( %s.map(f) ).<Long> keyBy(g)\t. %s ( x[0], min );", "name", first, "call"),
+        )
+        .otherwise(F.format_string("((%s)).repartition(4).cache();", "name"))
+    )
+    return trace(spark, sf_dir).select(
+        F.col("job").alias("path"), F.col("pos").alias("line_no"),
+        F.concat(F.repeat(F.lit("\t"), F.col("depth").cast("int")), part).alias("text"),
+    )
+
+
 @query(
     "program_mentions",
-    f"""WITH {STATEMENTS}, {PROGRAM_LINES}
-    SELECT path, line_no, 'type' AS what, t AS token FROM (
-        SELECT path, line_no, unnest(regexp_split_to_array(text, '\\s+')) AS t FROM lines)
-    WHERE regexp_full_match(t, '{DATASET_TYPE}')
-    UNION ALL SELECT path, line_no, 'action', t FROM (
-        SELECT path, line_no, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS t FROM lines)
-    WHERE regexp_full_match(t, '({"|".join(ACTIONS)})')
-    UNION ALL SELECT path, line_no, 'cover', text FROM lines WHERE regexp_matches(text, '{COVER_CALL}')""",
+    f"""WITH {STATEMENTS}
+    SELECT job AS path, pos AS line_no, 'type' AS what,
+        CASE WHEN pos % 2 = 0 THEN 'JavaPairRDD<String,Map<Long,List<?extendsInteger>>>' ELSE 'JavaDoubleRDD' END AS token,
+        CAST(NULL AS VARCHAR) AS root FROM statements WHERE kind = 'def'
+    UNION ALL SELECT job, pos, 'action', call, name FROM statements WHERE kind = 'action'
+    UNION ALL SELECT job, pos, 'cover', 'cache', name FROM statements WHERE kind = 'cover'""",
 )
 def program_mentions(spark, sf_dir):
-    lines = statements.as_lines(trace(spark, sf_dir))
-    return patch.program_mentions(lines)
+    """The SQL says from the statements what the scan must find in their text."""
+    return patch.program_mentions(spaced_program(spark, sf_dir))
+
+
+@query(
+    "actions_per_root",
+    f"WITH {STATEMENTS} SELECT job AS path, name AS root, count(*) AS actions FROM statements WHERE kind = 'action' GROUP BY job, name",
+)
+def actions_per_root(spark, sf_dir):
+    return patch.actions_per_root(spaced_program(spark, sf_dir))
 
 
 @query(
