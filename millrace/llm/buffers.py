@@ -13,8 +13,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,23 +60,21 @@ def words(data: np.ndarray, starts: np.ndarray, blank: np.ndarray = _BLANK) -> t
     return begin, end, np.searchsorted(begin, starts)
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums of a polynomial in its bytes.
+    """A 64-bit hash of each word: the sum of a random number for each of its bytes and their places in the word.
 
-    A sum up to a byte is undone at the word's begin, and the power that its place
-    gives it is divided out, so a word has the same hash wherever it stands.
+    The numbers are mixed from byte and place, not powers of a base, so no two words
+    are known beforehand to have equal sums.
     """
     if not len(begin):
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[data] * _powers(len(data), _BASE)[:-1], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * _powers(len(data), _INVERSE)[begin] + (end - begin).astype(np.uint64))
+    length = end - begin
+    upto = np.zeros(len(length) + 1, np.int64)
+    np.cumsum(length, out=upto[1:])
+    place = np.arange(upto[-1]) - np.repeat(upto[:-1], length)
+    byte = data[place + np.repeat(begin, length)]
+    number = mix(place.astype(np.uint64) * _BASE + mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[byte])
+    return mix(np.add.reduceat(number, upto[:-1]) + length.astype(np.uint64))
 
 
 def sums_of_runs(flags: np.ndarray, upto: np.ndarray) -> np.ndarray:

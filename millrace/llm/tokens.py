@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -16,8 +15,10 @@ from millrace.llm.buffers import pieces, text_bytes
 #: Words and parts of words whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 250_000
 LONG_WORD = 64
-#: A word and marks after it, which the tokenizer's pattern always parts: letters or numbers, then neither.
-_MARKED = re.compile(r"(.*[^\W_])([.,;:!?&$#%*|)]+)", re.DOTALL)
+#: Marks that are peeled off a word's end, and what they may be peeled off: letters and digits that the tokenizer keeps
+#: as one letter or digit. (Others may end in a combining mark, which goes into one token with the marks behind it.)
+_MARKS = ".,;:!?&$#%*|)"
+_KEPT = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]$"
 #: Bytes of text in work at a time; a longer text is a run alone.
 RUN_BYTES = 2 << 20
 
@@ -64,40 +65,39 @@ class Memory:
         return [young[w] if w in young else found[w] for w in words] if found else [young[w] for w in words]
 
 
+def _ends_of(words: pa.Array, cores: pa.Array) -> pa.Array:
+    """What each word has behind its core."""
+    data, starts = text_bytes(words)
+    begin, end = starts[:-1] + pc.binary_length(cores).to_numpy(zero_copy_only=False), starts[1:]
+    length = end - begin
+    upto = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    rest = data[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(upto), pa.py_buffer(rest)])
+
+
+def peeled(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words without the marks at their end, ASCII ones in lower case, and the marks: encoded apart they have the same ids."""
+    cores = pc.utf8_rtrim(words, _MARKS)
+    cores = pc.if_else(pc.match_substring_regex(cores, _KEPT), cores, words)
+    plain = pc.and_(pc.string_is_ascii(cores), pc.invert(pc.match_substring(cores, "<|")))
+    return pc.if_else(plain, pc.ascii_lower(cores), cores), _ends_of(words, cores)
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer whose tokens never cross ASCII white space.
 
-    That holds for tokenizers that drop white space before they split. A text is cut
-    at ASCII white space, each different piece is encoded by the tokenizer itself,
-    and the ids are put together again by index.
+    That holds for tokenizers that drop white space before they split and part letters
+    and digits from other marks. A text is cut at ASCII white space, marks are peeled off,
+    each different piece is encoded by the tokenizer itself, and the ids are put together
+    again by index.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.whole: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Marks at its end are encoded apart, and ASCII words in lower case: the same ids, fewer words."""
-        if len(self.known) + len(self.whole) > REMEMBERED:
-            self.known.clear()
-            self.whole.clear()
-        known, whole, pairs = self.known, self.whole, []
-        unseen = [word for word in words if word not in whole]
-        for word in unseen:
-            marked = _MARKED.fullmatch(word)
-            core, marks = marked.groups() if marked else (word, "")
-            pairs.append((core.lower() if core.isascii() and "<|" not in core else core, marks))
-        new = list({part for pair in pairs for part in pair if part not in known})
-        for first in range(0, len(new), 50_000):
-            some = new[first : first + 50_000]
-            for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[part] = np.array(found.ids, "<u4").tobytes()
-        whole.update((word, known[core] + known[marks]) for word, (core, marks) in zip(unseen, pairs, strict=True))
-        return [whole[word] for word in words]
+        tokenizer = Tokenizer.from_file(path)
+        self.memory = Memory(lambda some: [x.ids for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)])
 
     def encode(self, texts: pa.Array, end: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per run of texts: number of the first, all ids, and the number of ids up to each text.
@@ -109,12 +109,16 @@ class WordEncoder:
         for first, last in pieces(starts, RUN_BYTES):
             split = pc.ascii_split_whitespace(texts.slice(first, last - first))
             upto = split.offsets.to_numpy().astype(np.int64)
+            upto = 2 * (upto - upto[0])  # a core and marks for each word
             words = split.flatten().dictionary_encode()
-            index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = self._ids(words.dictionary.to_pylist())
+            cores, marks = (x.dictionary_encode() for x in peeled(words.dictionary))
+            of_core, of_marks = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (cores, marks))
+            index = np.stack([of_core, len(cores.dictionary) + of_marks], axis=1)
+            index = index[words.indices.to_numpy(zero_copy_only=False)].reshape(-1)
+            ids = self.memory.ids(cores.dictionary.to_pylist()) + self.memory.ids(marks.dictionary.to_pylist())
             if end is not None:
-                index = np.insert(index, upto[1:] - upto[0], len(ids))
-                ids.append(np.array([end], "<u4").tobytes())
+                index = np.insert(index, upto[1:], len(ids))
+                ids.append(array("I", [end]).tobytes())
                 upto = upto + np.arange(len(upto))
             flat, total = joined(ids, index)
-            yield first, flat, total[upto - upto[0]]
+            yield first, flat, total[upto]

@@ -127,3 +127,11 @@ def test_components_of_chain_and_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}}
+
+
+def test_words_that_cancel_in_powers_of_any_base_are_not_copies(spark):
+    one, other = "a", "b"
+    for _ in range(10):  # the sequence in which each half is the other one's complement
+        one, other = one + other, other + one
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert all(r.kept for r in dedup.near_duplicates(docs).collect())

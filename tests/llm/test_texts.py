@@ -39,6 +39,25 @@ def ids_of(text):
     return Tokenizer.from_file(WORD_TOKENIZER).encode(text or "", add_special_tokens=False).ids
 
 
+def test_every_letter_with_marks_behind_it_is_encoded_as_in_its_text():
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+
+    from millrace.llm.tokens import WordEncoder
+
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "LNM"]
+    texts = [f"{x}; y{x}... Z{x}) {x}x" for x in letters]
+    texts += ["<|ENDOFTEXT|>. <|endoftext|>, a|) It's!? 7;8; ..;. \u0301; e\u0301;", "İ; क़; \ufb1d;"]
+    tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
+    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = []
+    for _, ids, upto in WordEncoder(WORD_TOKENIZER).encode(pa.array(texts), None):
+        got += [ids[a:b].tolist() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def expected_pieces(rows, capacity):
     tokenizer, out = Tokenizer.from_file(WORD_TOKENIZER), []
     for doc, text, _ in rows:
