@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.streams import saved
-from millrace.llm.tokens import WordEncoder
+from millrace.llm.tokens import word_encoder
 
 #: Lengths of one block of the suffix sums.
 BLOCK = 1024
@@ -18,7 +18,7 @@ def histogram(docs: DataFrame, tokenizer: str, end: int | None = None) -> DataFr
     """``length, docs``: how many documents encode to each number of tokens. A null text is empty."""
 
     def counts(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             found = [np.diff(upto) for _, _, upto in encoder.encode(batch["text"], end)]
             lengths, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)

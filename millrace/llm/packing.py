@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.streams import saved
-from millrace.llm.tokens import WordEncoder
+from millrace.llm.tokens import word_encoder
 
 CAPACITY = 4096
 END = 1
@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """Each document's ids, then ``end``, cut into pieces of ``capacity`` if there are more: place, length, checksum."""
 
     def cut(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             for first, ids, upto in encoder.encode(batch["text"], end):
                 total = np.diff(upto)

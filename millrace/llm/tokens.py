@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from array import array
 from collections.abc import Iterator
@@ -122,3 +123,9 @@ class WordEncoder:
                 upto = upto + np.arange(len(upto))
             flat, total = joined(ids, index)
             yield first, flat, total[upto]
+
+
+@functools.cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for each worker, so that a task finds what the ones before it met."""
+    return WordEncoder(path)
