@@ -209,7 +209,8 @@ def identified(docs: DataFrame) -> DataFrame:
             scores += np.where(empty, 0.0, np.clip(score, 0, 1)).tolist()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    rows = docs.withColumn("lang_id", predict(letters(text)))
+    once = predict.asNondeterministic()  # a filter on it is not pushed below it, which would have each text judged twice
+    rows = docs.withColumn("lang_id", once(letters(text)))
     result = F.struct(held.alias("held_out"), F.col("lang_id.lang_pred"), F.col("lang_id.score"))
     return rows.withColumn("lang_id", result)
 
