@@ -16,6 +16,8 @@ from millrace.llm.buffers import pieces, text_bytes
 #: Words and parts of words whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 250_000
 LONG_WORD = 64
+#: Words that are encoded in one call.
+CHUNK = 8192
 #: Marks that are peeled off a word's end, and what they may be peeled off: letters and digits that the tokenizer keeps
 #: as one letter or digit. (Others may end in a combining mark, which goes into one token with the marks behind it.)
 _MARKS = ".,;:!?&$#%*|)"
@@ -59,8 +61,8 @@ class Memory:
                     young[word] = old[word]
                 else:
                     new.append(word)
-        for first in range(0, len(new), 50_000):
-            some = new[first : first + 50_000]
+        for first in range(0, len(new), CHUNK):
+            some = new[first : first + CHUNK]
             for word, ids in zip(some, self.encode(some), strict=True):
                 (young if len(word) <= LONG_WORD else found)[word] = array("I", ids).tobytes()
         return [young[w] if w in young else found[w] for w in words] if found else [young[w] for w in words]
