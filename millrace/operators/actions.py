@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.sampling import bucket, digest
+from millrace.operators.ordered import cuts_below
 
 
 def count_rows(df: DataFrame) -> DataFrame:
@@ -42,6 +43,56 @@ def take_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return df.orderBy(digest(seed, F.col(key)), key).limit(n)
 
 
+#: Parts that rows are numbered in for draws; each is sorted by one task.
+DRAW_PARTS = 65_536
+
+
+def draw_with_replacement(df: DataFrame, n: int, key: str, seed: int, parts: int = DRAW_PARTS) -> DataFrame:
+    """``n`` independent draws from the rows of ``df``, as ``draw`` 0 .. n-1 with the row; the same on every run.
+
+    Rows are dealt to ``parts`` by a hash of their key, and a draw names a part, with the
+    part's share of all rows, and a place in it: so how often the parts are drawn is
+    multinomial, and only rows within a part are put in order. The table of parts is
+    the one thing that every draw looks up. Rows that repeat a key are drawn each. No
+    rows give no draws.
+    """
+    placed = df.withColumn("_part", bucket(seed, F.col(key), parts))
+    upto = F.sum("_rows").over(Window.orderBy("_part"))
+    ends = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_upto", upto)
+    listed = ends.agg(F.sort_array(F.collect_list(F.struct("_upto", "_part", "_rows"))).alias("ends"))
+    head = F.conv(F.substring(digest(seed, F.concat(F.lit("draw "), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
+    spark = df.sparkSession
+    drawn = spark.range(n).select(F.col("id").alias("draw"), head.alias("_head"), listed.scalar().alias("_ends"))
+    at = drawn.where(F.size("_ends") > 0).withColumn("_at", F.pmod("_head", F.element_at("_ends", -1)["_upto"]))
+    # The part whose rows are numbered beyond the draw: as many ends as lie at or before it come first.
+    part = F.get("_ends", cuts_below(F.transform("_ends", lambda e: e["_upto"]), F.col("_at")))
+    named = at.withColumn("_one", part).select(
+        "draw", F.col("_one._part").alias("_part"), (F.col("_at") - F.col("_one._upto") + F.col("_one._rows") + 1).alias("_place")
+    )
+    order = Window.partitionBy("_part").orderBy(digest(seed, F.col(key)), key)
+    numbered = placed.join(named.select("_part").distinct(), "_part", "left_semi").withColumn("_place", F.row_number().over(order).cast("long"))
+    return named.join(numbered, ["_part", "_place"]).select("draw", *df.columns)
+
+
+def distinct_sketches(df: DataFrame, by: Sequence[str], column: str, precision: int = 12) -> DataFrame:
+    """``by, sketch``: what is needed to count the distinct values of each group, alone or together with others.
+
+    A sketch has 2 ** ``precision`` registers, whatever it has seen; its relative standard
+    deviation is about 1.04 / sqrt(2 ** precision). Nulls are no values.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(column, precision).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sketches of larger groups from those of smaller ones, without their rows."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    """The number of distinct values that each sketch stands for, as ``estimate``."""
+    return sketches.withColumn("estimate", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 def approx_distinct(df: DataFrame, column: str, error: float = 0.05) -> DataFrame:
     """Estimated number of distinct values, ``error`` being its relative standard deviation."""
     return df.agg(F.approx_count_distinct(column, error).alias("n_distinct"))

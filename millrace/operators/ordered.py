@@ -48,11 +48,11 @@ def with_blocks(
     placed = df.withColumn("_place", F.struct(position.alias("_cut")))
     return placed.join(F.broadcast(cuts), same_keys, "left").select(
         *[F.col(c) for c in df.columns],
-        F.when(F.col("_cuts").isNotNull(), _cuts_below(F.col("_cuts"), F.col("_place"))).alias(BLOCK),
+        F.when(F.col("_cuts").isNotNull(), cuts_below(F.col("_cuts"), F.col("_place"))).alias(BLOCK),
     )
 
 
-def _cuts_below(cuts: Column, place: Column) -> Column:
+def cuts_below(cuts: Column, place: Column) -> Column:
     """How many of the sorted cuts are at or before ``place``, by halving the range in question."""
     halvings = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
 

@@ -198,8 +198,9 @@ def all_advice(earliest: DataFrame, multi: DataFrame, state: DataFrame) -> DataF
 
 
 def last_advice_per_line(advice: DataFrame) -> DataFrame:
-    """One advice per line; multi-use beats loop advice, then the later one wins."""
-    last = F.max(F.struct("kind", "pos", "name"))
+    """One advice per line; multi-use beats loop advice, then the later one wins, then the name."""
+    rank = F.when(F.col("kind") == MULTI_ACTION, 1).otherwise(0).alias("rank")
+    last = F.max(F.struct(rank, "pos", "name", "kind"))
     return advice.groupBy("job", "line").agg(last.alias("_last")).select(
         "job", "line", "_last.kind", "_last.pos", "_last.name"
     )

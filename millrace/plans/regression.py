@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from millrace.functions.vectors import dot, literal_vector
+from millrace.operators.grouping import vector_sums
 
 # The 48-bit linear congruence behind the first weights.
 MULTIPLIER = 25214903917
@@ -36,24 +39,44 @@ def dimensions(points: DataFrame) -> int:
 def logistic_weights(points: DataFrame, weights: Sequence[float], rounds: int) -> list[float]:
     """Weights after ``rounds`` steps over ``points(y, x)`` with labels of +1 and -1.
 
-    The step is 1, with no intercept and no penalty. A round is one aggregation
-    with a sum per dimension, so each task sends back one row.
+    The step is 1, with no intercept and no penalty. A vector that is shorter than the
+    weights has zeros at its end; a row with a null label, vector or component gives
+    nothing. Each Arrow batch becomes one vector of sums, and those are added up by
+    dimension; so neither the plan nor what comes back grows but with the dimensions.
     """
     if not weights:
         return []
     points = points.select("y", "x").persist(StorageLevel.MEMORY_AND_DISK)
-    w = list(weights)
-    x = [F.get("x", F.lit(i)) for i in range(len(w))]
+    w = np.array(weights, float)
     try:
         for _ in range(rounds):
-            margin = dot(F.col("x"), literal_vector(w))
-            pull = (1 / (1 + F.exp(-F.col("y") * margin)) - 1) * F.col("y")
-            gradient = (
-                points.withColumn("pull", pull)
-                .agg(*[F.coalesce(F.sum(F.col("pull") * x[i]), F.lit(0.0)).alias(f"g{i}") for i in range(len(w))])
-                .first()
-            )
-            w = [value - gradient[i] for i, value in enumerate(w)]
+            pulls = points.mapInArrow(_gradients(points.sparkSession.sparkContext.broadcast(w)), "gradient array<double>")
+            for row in vector_sums(pulls, [], "gradient").toLocalIterator():
+                w[row.dim] -= row.total
     finally:
         points.unpersist()
-    return w
+    return w.tolist()
+
+
+def _gradients(sent):
+    """Per batch of ``y, x`` the sum of ``(1 / (1 + exp(-y * w.x)) - 1) * y * x``."""
+
+    def run(batches):
+        w = sent.value
+        for batch in batches:
+            batch = batch.filter(pc.and_(batch["y"].is_valid(), batch["x"].is_valid()))
+            count, parent = batch.num_rows, pc.list_parent_indices(batch["x"]).to_numpy()
+            value = pc.list_flatten(batch["x"]).to_numpy(zero_copy_only=False).astype(float)
+            starts = np.searchsorted(parent, np.arange(count))
+            dim = np.arange(len(value)) - starts[parent]
+            inside = dim < len(w)
+            parent, value, dim = parent[inside], value[inside], dim[inside]
+            y = batch["y"].to_numpy(zero_copy_only=False).astype(float)
+            margin = np.bincount(parent, value * w[dim], count)
+            with np.errstate(over="ignore"):
+                pull = (1 / (1 + np.exp(-y * margin)) - 1) * y
+            known = ~np.isnan(pull[parent])
+            sums = np.bincount(dim[known], (pull[parent] * value)[known], len(w))
+            yield pa.record_batch({"gradient": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+    return run

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import actions, grouping
 from millrace.queries.registry import query, table
+from millrace.session import cut
 
 BUCKET = "CAST('0x' || substr(md5('42:' || o_orderkey), 1, 8) AS BIGINT) % 8 = 0"
 BOUNDS = """n AS sampled, CAST(n * 8 AS DOUBLE) AS estimate,
@@ -160,5 +161,48 @@ def take_sample(spark, sf_dir):
     return actions.take_sample(orders, 50, "o_orderkey", seed=42)
 
 
+DRAWS, DRAW_PARTS = 500, 16
+
+
+@query(
+    "take_sample_replaced",
+    f"""WITH placed AS (
+        SELECT o_orderkey, o_totalprice, CAST('0x' || substr(md5('42:' || o_orderkey), 1, 8) AS BIGINT) % {DRAW_PARTS} AS part
+        FROM orders
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5('42:' || o_orderkey), o_orderkey) AS place FROM placed
+    ), parts AS (
+        SELECT part, count(*) AS n, sum(count(*)) OVER (ORDER BY part) AS upto FROM placed GROUP BY part
+    ), draws AS (
+        SELECT i AS draw, CAST('0x' || substr(md5('42:draw ' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM orders) AS spot
+        FROM range({DRAWS}) r(i)
+    )
+    SELECT draw, o_orderkey, o_totalprice FROM draws JOIN parts ON spot >= upto - n AND spot < upto
+        JOIN numbered ON numbered.part = parts.part AND place = spot - (upto - n) + 1""",
+)
+def take_sample_replaced(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return actions.draw_with_replacement(orders, DRAWS, "o_orderkey", seed=42, parts=DRAW_PARTS)
+
+
+@query(
+    "distinct_from_sketches",
+    """SELECT year(CAST(o_orderdate AS DATE)) AS year, count(DISTINCT o_custkey) AS n_distinct, true AS close, true AS same
+       FROM orders GROUP BY 1""",
+)
+def distinct_from_sketches(spark, sf_dir):
+    """Customers of each year from sketches of its months, stored once: near the exact number, and as from all rows."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    dated = orders.select("o_custkey", F.year("day").alias("year"), F.month("day").alias("month"))
+    months = cut(actions.distinct_sketches(dated, ["year", "month"], "o_custkey"), "sketches")
+    merged = actions.sketched_counts(actions.merged_sketches(months, ["year"])).withColumnRenamed("estimate", "merged")
+    whole = actions.sketched_counts(actions.distinct_sketches(dated, ["year"], "o_custkey"))
+    exact = dated.groupBy("year").agg(F.count_distinct("o_custkey").alias("n_distinct"))
+    close = F.abs(F.col("merged") - F.col("n_distinct")) <= F.ceil(4 * 1.04 / 64 * F.col("n_distinct"))
+    # Both have the same registers; the estimate from one that was never merged may use more than those.
+    same = F.abs(F.col("merged") - F.col("estimate")) <= F.ceil(0.05 * F.col("estimate"))
+    return exact.join(merged, "year").join(whole, "year").select("year", "n_distinct", close.alias("close"), same.alias("same"))
+
+
 def _rounded(estimates):
     return estimates.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})

@@ -13,7 +13,7 @@ from millrace.operators.actions import count_rows
 from millrace.plans import clustering, graph
 from millrace.queries.registry import query, table
 from millrace.session import shared_path
-from millrace.sources import files
+from millrace.sources import committed, files
 
 DOCUMENT_LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents)"
 
@@ -134,6 +134,33 @@ def partition_sink(spark, sf_dir):
     return spark.createDataFrame([(seen.value, total.value)], "n long, total long")
 
 
+@query("for_each_row", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders")
+def for_each_row(spark, sf_dir):
+    """Effects of single rows, counted by accumulators: a task adds to them once, when it has ended well."""
+    seen, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def effect(row):
+        seen.add(1)
+        total.add(row.o_orderkey)
+
+    files.for_each_row(table(spark, sf_dir, "orders").select("o_orderkey"), effect)
+    return spark.createDataFrame([(seen.value, total.value)], "n long, total long")
+
+
+@query("for_each_partition", "SELECT count(*) AS n, CAST(max(o_orderkey) AS BIGINT) AS largest FROM orders")
+def for_each_partition(spark, sf_dir):
+    """Each partition leaves a line, in a sink that commits: how many rows it had, and its largest key."""
+
+    def effect(rows):
+        keys = [row.o_orderkey for row in rows]
+        return [f"{len(keys)} {max(keys)}"] if keys else []
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").repartition(PARTITIONS, "o_orderkey")
+    lines = committed.results_of_partitions(orders, effect, shared_path(spark, "committed"))
+    parts = F.split("value", " ")
+    return lines.agg(F.sum(parts[0].cast("long")).alias("n"), F.max(parts[1].cast("long")).alias("largest"))
+
+
 # Projection, filter, scalar, array and string
 
 

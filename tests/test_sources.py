@@ -1,9 +1,12 @@
 """Sources, sinks and side effects."""
 
+import pytest
+
 from millrace.operators.grouping import partition_lists, two_level
 from millrace.plans.clustering import library_kmeans
-from millrace.sources import files
+from millrace.sources import committed, files
 from millrace.session import cut
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 
@@ -67,3 +70,31 @@ def test_library_clusters_save_and_load(spark, tmp_path):
     files.save_model(model, str(tmp_path / "m"))
     centers = sorted(tuple(c) for c in files.load_model(str(tmp_path / "m")).clusterCenters())
     assert centers == [(0.0, 1.0), (10.0, 1.0)]
+
+
+def test_committed_lines_are_all_there_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    df = spark.range(100).repartition(5).selectExpr("id")
+    got = committed.results_of_rows(df, lambda row: f"row {row.id}", path)
+    assert sorted(r.value for r in got.collect()) == sorted(f"row {k}" for k in range(100))
+
+    def fails(rows):
+        if any(row.id == 37 for row in rows):
+            raise ValueError("no")
+        return ["done"]
+
+    other = str(tmp_path / "failed")
+    with pytest.raises(Exception, match="no"):
+        committed.results_of_partitions(df, fails, other)
+    assert committed.saved_lines(spark, other).count() == 0
+    assert committed.results_of_rows(df.limit(0), str, str(tmp_path / "none")).count() == 0
+
+
+def test_a_doubled_task_counts_once(spark, tmp_path):
+    writer = committed.LineWriter(str(tmp_path))
+    rows = [Row(value="a"), Row(value="b")]
+    writer.write(iter(rows))  # an attempt that was lost after it wrote
+    writer.commit([writer.write(iter(rows)), None, writer.write(iter([]))])
+    assert sorted(r.value for r in committed.saved_lines(spark, str(tmp_path)).collect()) == ["a", "b"]
+    writer.abort([writer.write(iter(rows))])
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("part-") and not p.name.endswith("crc")]) == 3

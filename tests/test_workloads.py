@@ -194,3 +194,37 @@ def test_nearest_of_a_null_vector_is_null(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0, 1.0])], "id long, x array<double>")
     found = {r.id: r.n for r in df.withColumn("n", nearest(df.x, [[5.0, 5.0], [0.0, 0.0]])).collect()}
     assert (found[1].center, found[1].distance) == (None, None) and (found[2].center, found[2].distance) == (2, 1.0)
+
+
+def test_draws_with_replacement(spark):
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "key string, v long")
+    draws = actions.draw_with_replacement(df, 4000, "key", seed=3, parts=8)
+    got = draws.collect()
+    assert sorted(r.draw for r in got) == list(range(4000))
+    times = [sum(r.v == v for r in got) for v in range(50)]
+    assert min(times) > 40 and max(times) < 130  # 80 on average, standard deviation 9
+    assert rows(draws) == rows(actions.draw_with_replacement(df, 4000, "key", seed=3, parts=8))
+    assert actions.draw_with_replacement(df.limit(0), 10, "key", seed=3).count() == 0
+    assert actions.draw_with_replacement(df, 0, "key", seed=3).count() == 0
+
+
+def test_merged_sketches_stand_for_all_values(spark):
+    df = spark.range(30000).select((F.col("id") % 6).alias("day"), (F.col("id") % 7919).alias("v"))
+    days = actions.distinct_sketches(df, ["day"], "v")
+    week = actions.sketched_counts(actions.merged_sketches(days, [])).first().estimate
+    again = actions.sketched_counts(actions.merged_sketches(days.union(days), [])).first().estimate
+    assert week == again and abs(week - 7919) < 4 * 1.04 / 64 * 7919
+
+
+def test_gradient_rows_with_nulls_and_short_vectors(spark):
+    data = [(1.0, [1.0, 2.0]), (-1.0, [0.5]), (None, [1.0]), (1.0, None), (-1.0, [None, 1.0]), (1.0, [3.0, 1.0, 9.0]), (1.0, [])]
+    points = spark.createDataFrame(data, "y double, x array<double>").repartition(3)
+    w = [0.1, -0.2]
+    for _ in range(3):
+        g = [0.0, 0.0]
+        for y, x in [(1.0, [1.0, 2.0]), (-1.0, [0.5]), (1.0, [3.0, 1.0])]:
+            pull = (1 / (1 + math.exp(-y * sum(a * b for a, b in zip(w, x, strict=False)))) - 1) * y
+            for k, v in enumerate(x):
+                g[k] += pull * v
+        w = [a - b for a, b in zip(w, g, strict=True)]
+    assert regression.logistic_weights(points, [0.1, -0.2], 3) == pytest.approx(w)
