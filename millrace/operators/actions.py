@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.sampling import bucket, digest
 from millrace.operators.ordered import cuts_below
+from millrace.session import cut
 
 
 def count_rows(df: DataFrame) -> DataFrame:
@@ -122,3 +125,48 @@ def count_approx(
         ((F.col("sampled") - spread) * one_in).alias("low"),
         ((F.col("sampled") + spread) * one_in).alias("high"),
     )
+
+
+def count_within(
+    df: DataFrame,
+    key: str,
+    by: Sequence[str] = (),
+    error: float = 0.05,
+    confidence: float = 0.95,
+    work: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    seed: int = 42,
+    buckets: int = 64,
+) -> DataFrame:
+    """Estimated row counts whose bounds lie within ``error`` of them, from as few rows as that takes.
+
+    Rows are dealt to ``buckets`` by a hash of ``key``. Rounds take 1, 2, 4, ... buckets in
+    all, each only those that no earlier one had, and stop once every group's interval
+    at ``confidence`` is narrow enough; with all buckets the counts are exact. ``work``,
+    what is to be counted of the rows (filters, joins), runs on a round's buckets alone.
+    A round leaves its counts in the shared folder, one number of it comes to the driver.
+
+    Returns ``by, buckets_read, sampled, estimate, low, high``. Groups not met in the
+    buckets read are not known of. Nothing sampled is no narrow interval, so a table
+    without rows is read whole; without ``by`` it gives a row of zeros.
+    """
+    z = NormalDist().inv_cdf((1 + confidence) / 2)
+    place = bucket(seed, F.col(key), buckets)
+    rounds, done = [], 0
+    while True:
+        upto = min(max(1, 2 * done), buckets)
+        counted = work(df.where((place >= done) & (place < upto))).groupBy(*by).agg(F.count(F.lit(1)).alias("sampled"))
+        rounds.append(cut(counted, "count"))
+        done = upto
+        total = reduce(DataFrame.unionByName, rounds).groupBy(*by).agg(F.sum("sampled").alias("sampled"))
+        spread = F.lit(z) * F.sqrt(F.col("sampled") * F.lit(1 - done / buckets))
+        if done == buckets or total.agg(F.min(spread <= error * F.col("sampled")) & (F.min("sampled") > 0)).first()[0]:
+            break
+    scale = buckets / done
+    return total.select(
+        *by,
+        F.lit(done).alias("buckets_read"),
+        "sampled",
+        (F.col("sampled") * scale).alias("estimate"),
+        ((F.col("sampled") - spread) * scale).alias("low"),
+        ((F.col("sampled") + spread) * scale).alias("high"),
+    )

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.operators import actions, grouping
+from millrace.operators import actions, grouping, states
 from millrace.queries.registry import query, table
 from millrace.session import cut
 
@@ -204,5 +208,83 @@ def distinct_from_sketches(spark, sf_dir):
     return exact.join(merged, "year").join(whole, "year").select("year", "n_distinct", close.alias("close"), same.alias("same"))
 
 
+def _within(group: str) -> str:
+    """SQL of an estimate at 95 % within 5 %: the fewest of 1, 2, 4, ... 64 buckets that make every group's bounds narrow."""
+    own = f"{group}, " if group else ""
+    return f"""WITH placed AS (
+        SELECT {own}CAST('0x' || substr(md5('42:' || o_orderkey), 1, 8) AS BIGINT) % 64 AS place FROM orders
+        WHERE o_totalprice > 1000
+    ), upto AS (
+        SELECT {own}k, count(*) AS n FROM placed JOIN (VALUES (1), (2), (4), (8), (16), (32), (64)) b(k) ON place < k
+        GROUP BY {own}k
+    ), reached AS (
+        SELECT min(k) AS k FROM (SELECT k FROM upto GROUP BY k
+            HAVING bool_and(1.959963984540054 * sqrt(n * (1 - k / 64.0)) <= 0.05 * n) OR k = 64)
+    )
+    SELECT {own}CAST(k AS INT) AS buckets_read, n AS sampled, n * 64.0 / k AS estimate,
+        round((n - 1.959963984540054 * sqrt(n * (1 - k / 64.0))) * 64 / k, 6) AS low,
+        round((n + 1.959963984540054 * sqrt(n * (1 - k / 64.0))) * 64 / k, 6) AS high
+    FROM upto JOIN reached USING (k)"""
+
+
+def _priced(orders):
+    return orders.where(F.col("o_totalprice") > 1000)
+
+
+@query("count_to_confidence", _within(""))
+def count_to_confidence(spark, sf_dir):
+    return _rounded(actions.count_within(table(spark, sf_dir, "orders"), "o_orderkey", work=_priced))
+
+
+@query("count_by_value_to_confidence", _within("o_orderpriority"))
+def count_by_value_to_confidence(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return _rounded(actions.count_within(orders, "o_orderkey", by=["o_orderpriority"], work=_priced))
+
+
+def _three_most(counts: Counter) -> Counter:
+    return Counter({q: counts[q] for q in sorted(counts)[-3:]})
+
+
+def _take_quantities(counts: Counter, batch: pa.RecordBatch) -> Counter:
+    found = batch.column(0).drop_null().value_counts()
+    return _three_most(counts + Counter({x["values"].as_py(): x["counts"].as_py() for x in found}))
+
+
+@query(
+    "aggregate_states",
+    """SELECT l_quantity AS quantity, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL
+       GROUP BY l_quantity ORDER BY l_quantity DESC LIMIT 3""",
+)
+def aggregate_states(spark, sf_dir):
+    """The three largest different quantities and how often they occur, as one state merged in a tree."""
+    return states.aggregate(
+        table(spark, sf_dir, "lineitem").select("l_quantity"), Counter, _take_quantities, lambda a, b: _three_most(a + b),
+        lambda counts: [{"quantity": q, "n": n} for q, n in counts.items()],
+        StructType.fromDDL("quantity double, n long"), depth=3, fan=4,
+    )
+
+
+@query(
+    "table_function_by_key",
+    """SELECT l_returnflag, l_quantity, n FROM (
+        SELECT l_returnflag, l_quantity, count(*) AS n,
+            row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC) AS place
+        FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_returnflag, l_quantity) WHERE place <= 3""",
+)
+def table_function_by_key(spark, sf_dir):
+    return states.top_counts(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+
+
+@query(
+    "grouped_function_by_key",
+    """SELECT l_linestatus, round(exp(avg(ln(CASE WHEN l_extendedprice > 0 THEN l_extendedprice END))), 4) AS mean,
+        count(CASE WHEN l_extendedprice > 0 THEN 1 END) AS n FROM lineitem GROUP BY l_linestatus""",
+)
+def grouped_function_by_key(spark, sf_dir):
+    means = states.geometric_means(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_extendedprice")
+    return means.withColumn("mean", F.round("mean", 4))
+
+
 def _rounded(estimates):
     return estimates.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
