@@ -74,15 +74,22 @@ class BoostedTrees:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
 
 
-def thresholds(kind: np.ndarray, score: np.ndarray, positive: np.ndarray, negative: np.ndarray, precision: float, least: int):
-    """Per kind the smallest score from which at least ``precision`` of ``least`` or more are positive; else over 1."""
+def thresholds(
+    kind: np.ndarray, score: np.ndarray, positive: np.ndarray, negative: np.ndarray, precision: float, kinds: int = 4, weight: float = 20.0
+) -> dict[int, float]:
+    """Per kind the smallest score from which at least ``precision`` of the rows are positive, by a smoothed estimate.
+
+    To the counts of rows at or above a score come ``weight`` rows of which as many are
+    positive as the score itself says. With no rows the score alone decides; the more
+    rows there are, the more their share does.
+    """
     out = {}
-    for k in range(4):
+    for k in range(kinds):
         own = kind == k
-        order = np.argsort(-score[own], kind="stable")
-        hits, misses = np.cumsum(positive[own][order]), np.cumsum(negative[own][order])
-        s = score[own][order]
-        last = np.append(s[1:] != s[:-1], True)[: len(s)]  # equal scores go together
-        good = last & (hits >= precision * (hits + misses)) & (hits + misses >= least)
-        out[k] = float(s[good].min()) if good.any() else 2.0
+        grid = np.unique(np.append(score[own], precision))[::-1]
+        at = np.searchsorted(-grid, -score[own])
+        hits = np.cumsum(np.bincount(at, positive[own], len(grid)))
+        rows = np.cumsum(np.bincount(at, positive[own] + negative[own], len(grid)))
+        good = (hits + weight * grid) / (rows + weight) >= precision
+        out[k] = float(grid[good][-1]) if good.any() else 2.0
     return out

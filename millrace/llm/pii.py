@@ -1,14 +1,17 @@
 """Personal data: generators propose spans, boosted trees judge them, calibrated thresholds select.
 
 Everything on rows is a column expression. Base patterns always count. Looser patterns
-propose more; trees learn from all documents how base spans look in format and
-context, without seeing what a base pattern requires, and a proposal is added where, at
-its score, spans are almost always personal data. The trees are fitted on counts per
+propose more, overlapping what else there is; trees learn from all documents how base
+spans look in format and context. They see a span as a base pattern would have it, so
+not what sets the two apart, and a proposal is added where, at its score, most spans
+are base ones. The trees are fitted on counts per
 combination of binned features, at most ``BINS`` of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +40,15 @@ CONTEXT = (
     r"host|server|login"
 )
 CONTEXT_CHARS = 40
-PRECISION = 0.95
-LEAST = 20
-FEATURES = ("kind", "digits", "length", "separators", "left", "right", "context", "check")
-BINS = 4 * 8 * 8 * 8 * 4 * 4 * 2 * 2
-
-_SPAN = "array<struct<start:int,end:int,match:string>>"
-
+#: At the scores from which a proposal is added, this share of all spans are base spans. Proposals that are personal data
+#: count against it, so the share of personal data is higher.
+PRECISION = 0.8
+FEATURES = ("kind", "digits", "length", "left", "right", "context", "check", "other")
+BINS = 4 * 8 * 8 * 4 * 4 * 2 * 2 * 2
+#: Rows of an array that one prefix scan takes at a time.
+BLOCK = 256
+#: Neighbours on either side among which a span of another kind is looked for.
+NEAR = 4
 
 #: A text without one of these has no match of the kind.
 NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
@@ -58,25 +63,58 @@ def _held(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def spans(text: Column, pattern: str, found: Column) -> Column:
-    """``[(start, end, match)]`` of all matches ``found``, in code points: gaps and matches alternate."""
-    steps = F.zip_with(
-        F.split(text, pattern, -1), found,
-        lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match"), F.length(match).alias("n")),
-    )
+def _prefixes(rows: DataFrame, scans: dict[str, tuple[Column, Callable, Callable, int]]) -> DataFrame:
+    """``rows`` with a column for each of ``scans``: what the values before each place add up to, in blocks.
+
+    A scan is ``(n, value, op, zero)``, with ``value(i)`` an int. A block's values are run
+    through one after the other, then the blocks' totals, so an array of n takes n x BLOCK
+    / 2 copies and (n / BLOCK) squared / 2: proportional to n up to some millions.
+    """
+
+    def local(n: Column, value: Callable, op: Callable, zero: int) -> Column:
+        last = lambda done: F.element_at(done, -1)
+        block = lambda b: F.aggregate(
+            F.sequence(b * BLOCK, F.least(n, (b + 1) * BLOCK) - 1), F.array(F.lit(zero)),
+            lambda done, i: F.concat(done, F.array(op(last(done), value(i)))),
+        )
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block)
+        return F.when(n > 0, blocks).otherwise(F.array().cast("array<array<int>>"))
+
+    def totals(name: str, op: Callable, zero: int) -> Column:
+        return F.aggregate(
+            f"{name}_local", F.array(F.lit(zero)),
+            lambda done, one: F.concat(done, F.array(op(F.element_at(done, -1), F.element_at(one, -1)))),
+        )
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["match"].alias("match")))
+    def whole(name: str, op: Callable) -> Column:
+        return F.flatten(F.transform(
+            f"{name}_local",
+            lambda one, b: F.transform(F.slice(one, 1, F.size(one) - 1), lambda x: op(F.get(f"{name}_totals", b), x)),
+        ))
+
+    rows = _held(rows, **{f"{n}_local": local(*scan) for n, scan in scans.items()})
+    rows = _held(rows, **{f"{n}_totals": totals(n, op, zero) for n, (_, _, op, zero) in scans.items()})
+    return _held(rows, **{n: whole(n, op) for n, (_, _, op, _) in scans.items()})
+
+
+def _spans(name: str) -> Column:
+    """``[(start, end, match, before, after)]`` of the matches in ``{name}_found``, in code points: gaps and matches alternate.
+
+    ``before`` goes back to the match before at most, ``after`` is one character.
+    """
+    gap = lambda i: F.get(f"{name}_gaps", i)
+    found = lambda i: F.coalesce(F.get(f"{name}_found", i), F.lit(""))
+
+    def span(match: Column, i: Column) -> Column:
+        start = F.get(f"{name}_at", i) + F.length(gap(i))
+        earlier = F.when(i > 0, found(i - 1)).otherwise("")
         return F.struct(
-            (start + F.coalesce(x["n"], F.lit(0))).alias("at"),
-            F.when(x["match"].isNull(), done["out"]).otherwise(F.concat(done["out"], one)).alias("out"),
+            start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"),
+            F.right(F.concat(earlier, gap(i)), F.lit(CONTEXT_CHARS)).alias("before"),
+            F.substring(F.concat(gap(i + 1), found(i + 1)), 1, 1).alias("after"),
         )
 
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, nothing, step, lambda done: done["out"])).otherwise(
-        F.array().cast(_SPAN)
-    )
+    return F.transform(f"{name}_found", span)
 
 
 def _digits(match: Column) -> Column:
@@ -110,10 +148,6 @@ def _passes(kind: str, match: Column) -> Column:
     return number.between(10, 15)
 
 
-def _test(kind: str):
-    return lambda span: _passes(kind, span["match"])
-
-
 def _of_kind(number: int):
     return lambda span: span["kind"] == number
 
@@ -122,65 +156,92 @@ def _side(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"^\s$"), 1).when(c.rlike(r"^[\p{L}\p{N}]$"), 2).otherwise(3)
 
 
-def _features(kind: str, text: Column, span: Column) -> list[Column]:
-    """Binned numbers of one span, in the order of FEATURES; what tells a base match from a loose one is left out."""
-    match = span["match"]
-    digits = F.length(_digits(match))
-    before = F.least(span["start"], F.lit(CONTEXT_CHARS))
-    context = F.substring(text, span["start"] - before + 1, before)
+def _plain(kind: str, match: Column) -> Column:
+    """The span as a base pattern would have it, so that spans written in other ways look alike."""
     if kind == "email":
-        check = match.rlike(r"[A-Za-z]{2,}$")
+        signs = F.regexp_replace(F.regexp_replace(match, r"\(at\)|\[at\]", "@"), r"\(dot\)|\[dot\]", ".")
+        return F.replace(signs, F.lit(" "), F.lit(""))
+    if kind == "ip":
+        return F.regexp_replace(match, r"[\x20\[\]]", "")
+    return _digits(match)
+
+
+def _features(kind: str, plain: Column, span: Column) -> list[Column]:
+    """Binned numbers of one span, those of FEATURES but the last; what tells a base match from a loose one is left out."""
+    digits = F.length(_digits(plain))
+    if kind == "email":
+        check = plain.rlike(r"[A-Za-z]{2,}$")
     elif kind == "ip":
-        check = _octets(match)
+        check = _octets(plain)
     elif kind == "card":
-        check = luhn(_digits(match))
+        check = luhn(plain)
     else:
         check = digits.between(10, 15)
-    separators = match.contains(" ").cast("int") + 2 * match.contains("-").cast("int") + 4 * match.rlike(r"[./_()\[\]]").cast("int")
-    left = F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise("")
     return [
-        F.lit(KINDS.index(kind)), F.least(F.floor(digits / 3), F.lit(7)).cast("int"),
-        F.least(F.floor(F.length(match) / 4), F.lit(7)).cast("int"), separators,
-        _side(left), _side(F.substring(text, span["end"] + 1, F.lit(1))),
-        context.rlike(CONTEXT).cast("int"), check.cast("int"),
+        F.lit(KINDS.index(kind)), F.least(F.floor(digits / 3), F.lit(7)), F.least(F.floor(F.length(plain) / 4), F.lit(7)),
+        _side(F.right(span["before"], F.lit(1))), _side(span["after"]), span["before"].rlike(CONTEXT), check,
     ]
 
 
+def _apart(a: Column, b: Column) -> Column:
+    return (a["end"] <= b["start"]) | (b["end"] <= a["start"])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii(text, base, loose)``; spans of the two arrays are ``(start, end, f0..f7)``, f0 the kind's number.
+    """``docs`` with ``pii(text, spans)``; spans are ``(start, loose, end, f0..f7)`` in order, f0 the kind's number.
 
-    ``loose`` holds what the loose patterns propose beyond the base spans: nothing that overlaps one of them.
+    Base spans have ``loose`` 0, and what the loose patterns propose 1. A proposal may
+    overlap base spans and others; one inside a base span of its kind adds nothing and is left out.
     """
     patterns = {f"pii_b{n}": (k, BASE[k]) for n, k in enumerate(KINDS)} | {f"pii_l{n}": (k, LOOSE[k]) for n, k in enumerate(KINDS)}
-    text = F.col("pii_text")
+    text, nothing = F.col("pii_text"), F.array().cast("array<string>")
     rows = docs.withColumn("pii_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = _held(rows, **{f"pii_has_{k}": text.rlike(p) for k, p in (("email", NEEDS["email"]), ("digit", NEEDS["ip"]))})
     has = {k: F.col("pii_has_email" if k == "email" else "pii_has_digit") for k in KINDS}
-    rows = _held(
-        rows,
-        **{
-            f"{n}_found": F.when(has[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>"))
-            for n, (k, p) in patterns.items()
-        },
-    )
-    rows = _held(rows, **{n: spans(text, p, F.col(f"{n}_found")) for n, (_, p) in patterns.items()})
+    rows = _held(rows, **{
+        f"{n}_found": F.when(has[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(nothing)
+        for n, (k, p) in patterns.items()
+    })
+    rows = _held(rows, **{
+        f"{n}_gaps": F.when(F.size(f"{n}_found") > 0, F.split(text, p, -1)).otherwise(nothing) for n, (_, p) in patterns.items()
+    })
 
-    def described(source: str, kind: str, test) -> Column:
-        def one(span: Column) -> Column:
-            named = [v.cast("int").alias(f"f{n}") for n, v in enumerate(_features(kind, text, span))]
-            return F.struct(span["start"].alias("start"), span["end"].alias("end"), *named)
+    def step(name: str) -> Callable:
+        return lambda i: F.length(F.get(f"{name}_gaps", i)) + F.length(F.get(f"{name}_found", i))
 
-        return F.transform(F.filter(F.col(source), test), one)
+    rows = _prefixes(rows, {f"{n}_at": (F.size(f"{n}_found"), step(n), lambda a, b: a + b, 0) for n in patterns})
 
-    base = [described(f"pii_b{n}", k, _test(k)) for n, k in enumerate(KINDS)]
-    loose = [described(f"pii_l{n}", k, lambda s: F.lit(True)) for n, k in enumerate(KINDS)]
-    rows = _held(rows, pii_base=F.concat(*base), pii_loose=F.concat(*loose))
-    apart = F.filter(
-        "pii_loose",
-        lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    found = F.struct(text.alias("text"), F.col("pii_base").alias("base"), apart.alias("loose"))
-    return _held(rows, pii=found).select(*docs.columns, "pii")
+    def described(kind: str, name: str, loose: int) -> Column:
+        spans = _spans(name) if loose else F.filter(_spans(name), lambda s: _passes(kind, s["match"]))
+
+        def one(s: Column) -> Column:
+            named = [v.cast("int").alias(f"f{n}") for n, v in enumerate(_features(kind, _plain(kind, s["match"]), s))]
+            return F.struct(s["start"].alias("start"), F.lit(loose).alias("loose"), s["end"].alias("end"), *named)
+
+        return F.transform(spans, one)
+
+    rows = _held(rows, **{
+        f"pii_k{n}": F.array_sort(F.concat(described(k, f"pii_b{n}", 0), described(k, f"pii_l{n}", 1))) for n, k in enumerate(KINDS)
+    })
+
+    def base_end(name: str) -> Callable:
+        return lambda i: F.when(F.get(name, i)["loose"] == 0, F.get(name, i)["end"]).otherwise(0)
+
+    kinds = [f"pii_k{n}" for n in range(len(KINDS))]
+    rows = _prefixes(rows, {f"{k}_upto": (F.size(k), base_end(k), F.greatest, 0) for k in kinds})
+
+    def new(name: str) -> Column:
+        return F.filter(name, lambda s, i: (s["loose"] == 0) | (F.get(f"{name}_upto", i) < s["end"]))
+
+    rows = _held(rows, pii_all=F.array_sort(F.concat(*map(new, kinds))))
+
+    def touched(s: Column, i: Column) -> Column:
+        near = F.slice("pii_all", F.greatest(i - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR + 1))
+        return F.exists(near, lambda b: (b["loose"] == 0) & (b["f0"] != s["f0"]) & ~_apart(b, s))
+
+    last = len(FEATURES) - 1
+    spans = F.transform("pii_all", lambda s, i: s.withField(f"f{last}", touched(s, i).cast("int")))
+    return _held(rows, pii=F.struct(text.alias("text"), spans.alias("spans"))).select(*docs.columns, "pii")
 
 
 class Detector:
@@ -190,21 +251,17 @@ class Detector:
         self.trees, self.limits = trees, limits
 
     @staticmethod
-    def fit(docs: DataFrame, precision: float = PRECISION, least: int = LEAST) -> Detector:
+    def fit(docs: DataFrame, precision: float = PRECISION) -> Detector:
         """Counts base and loose spans per combination of features, four fifths to fit and one to calibrate.
 
         The counts of all documents come to the driver, at most 2 * BINS rows.
         """
         rows = candidates(docs.select("doc_id", "text"))
         held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
-        each = F.concat(
-            F.transform("pii.base", lambda s: F.struct(s.alias("span"), F.lit(1).alias("base"))),
-            F.transform("pii.loose", lambda s: F.struct(s.alias("span"), F.lit(0).alias("base"))),
-        )
         names = [f"f{n}" for n in range(len(FEATURES))]
-        spread = rows.select(held.alias("held"), F.explode(each).alias("s")).select("held", "s.base", "s.span.*")
+        spread = rows.select(held.alias("held"), F.explode("pii.spans").alias("s")).select("held", "s.*")
         counts = spread.groupBy("held", *names).agg(
-            F.sum("base").alias("positive"), F.sum(1 - F.col("base")).alias("negative")
+            F.sum(1 - F.col("loose")).alias("positive"), F.sum("loose").alias("negative")
         ).orderBy("held", *names).collect()
         if not counts:
             return Detector(None, {})
@@ -212,7 +269,7 @@ class Detector:
         positive, negative = (np.array([r[n] for r in counts], np.int64) for n in ("positive", "negative"))
         test = np.array([r.held for r in counts], bool)
         trees = BoostedTrees().fit(x[~test], positive[~test], negative[~test])
-        limits = thresholds(x[test, 0], trees.probability(x[test]), positive[test], negative[test], precision, least)
+        limits = thresholds(x[test, 0], trees.probability(x[test]), positive[test], negative[test], precision)
         return Detector(trees, limits)
 
     def detect(self, docs: DataFrame) -> DataFrame:
@@ -220,14 +277,15 @@ class Detector:
         rows = candidates(docs)
         short = lambda s: F.struct(s["start"].alias("start"), s["f0"].alias("kind"), s["end"].alias("end"))
         if self.trees is None:
-            chosen = F.filter("pii.loose", lambda s: F.lit(False))
+            chosen = lambda s: F.lit(False)
         else:
             limit = F.array(*[F.lit(self.limits[k]) for k in range(len(KINDS))])
             score = lambda s: self.trees.column([s[f"f{n}"] for n in range(len(FEATURES))])
-            chosen = F.filter("pii.loose", lambda s: score(s) >= F.element_at(limit, s["f0"] + 1))
+            chosen = lambda s: (s["loose"] == 1) & (score(s) >= F.element_at(limit, s["f0"] + 1))
+        sorted_spans = lambda keep: F.array_sort(F.transform(F.filter("pii.spans", keep), short))
         found = F.struct(
-            F.col("pii.text").alias("text"), F.array_sort(F.transform("pii.base", short)).alias("base"),
-            F.array_sort(F.transform(chosen, short)).alias("added"),
+            F.col("pii.text").alias("text"), sorted_spans(lambda s: s["loose"] == 0).alias("base"),
+            sorted_spans(chosen).alias("added"),
         )
         return _held(rows, pii_found=found).drop("pii")
 
