@@ -317,7 +317,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span, or run of overlapping spans, replaced by the kind of its first in brackets."""
+    """``docs`` with each span, or run of overlapping spans, replaced by the kind of its first in brackets.
+
+    A null or empty text stays as it is, as does one without spans; rows that repeat and
+    null doc_ids are kept, all other columns too, and no rows give no rows.
+    """
     rows = Detector.fit(docs).detect(docs)
     text, found = F.col("pii_found.text"), F.array_sort(F.concat("pii_found.base", "pii_found.added"))
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
