@@ -124,6 +124,26 @@ def test_lloyd_keeps_an_empty_center_and_runs_no_round_at_converge_one(spark):
     assert clustering.lloyd(points, 3, converge=0.0, centers=start) == [[0.0, 0.0], [10.0, 0.0], [99.0, 99.0]]
 
 
+def test_lloyd_sums_up_points_in_their_tasks(spark, monkeypatch):
+    """What a round shuffles is two vectors a centre and task, whatever the number of points."""
+    sizes = []
+    add = clustering.vector_sums
+    monkeypatch.setattr(clustering, "vector_sums", lambda df, *a: sizes.append(df.count()) or add(df, *a))
+    points = spark.range(0, 6000, 1, 5).select("id", F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("x"))
+    got = clustering.lloyd(points, 3, converge=0.0, centers=[[0.2, 0.0], [1.1, 0.0], [2.4, 0.0]])
+    assert got == [[0.0, 1.0], [1.0, 1.0], [2.0, 1.0]]
+    assert sizes and max(sizes) <= 5 * 3 * 2
+
+
+def test_lloyd_with_nulls_and_unequal_lengths(spark):
+    data = [None, [], [0.0], [2.0, 4.0], [1.0, None], [9.0, None, 3.0], [11.0, None], [10.0, None, 5.0, 1.0]]
+    points = spark.createDataFrame(list(enumerate(data)), "id long, x array<double>")
+    # A null component makes all distances of its vector NaN, so the first centre is taken, as before.
+    assert clustering.lloyd(points, 2, converge=0.0, max_rounds=1, centers=[[1.0, 1.0], [8.0, 9.0]]) == [[33 / 6, 4.0, 4.0, 1.0], [8.0, 9.0]]
+    only = points.where("id in (4, 6)")
+    assert clustering.lloyd(only, 1, converge=0.0, max_rounds=1, centers=[[3.0, 7.0]]) == [[6.0, 7.0]]
+
+
 def test_squared_error(spark):
     points = spark.createDataFrame([(1, [1.0]), (2, [4.0])], "id long, x array<double>")
     assert clustering.squared_error(points, [[0.0], [5.0]]).first()[0] == 2.0
