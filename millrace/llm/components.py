@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.streams import saved
 
+#: Links that a task holds at once.
+HELD = 1 << 20
+
+
+def _stars(links: np.ndarray) -> pa.RecordBatch:
+    """Links from each node to the smallest one that it reaches by ``links``."""
+    nodes, ends = np.unique(links, return_inverse=True)
+    a, b = ends.reshape(links.shape).T
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root != root[root]).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.record_batch({"a": pa.array(nodes[moved]), "b": pa.array(nodes[root[moved]])})
+
+
+def _shortened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars, of ``HELD`` links at a time; never more links than came."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.stack([batch["a"].to_numpy(), batch["b"].to_numpy()], axis=1))
+        if sum(map(len, held)) >= HELD:
+            yield _stars(np.concatenate(held))
+            held = []
+    if held:
+        yield _stars(np.concatenate(held))
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a")).toDF("a", "b")
@@ -26,10 +60,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Hot nodes are safe: minima are summed up before they are shuffled, and a join
     with a hot key is split at run time. Every round is saved, so a lost executor
-    costs that round. Null ends and links of a node with itself are left out; no
-    links give no rows.
+    costs that round. Each task joins its own links before the first one. Null ends
+    and links of a node with itself are left out; no links give no rows.
     """
-    links = links.select("a", "b").where("a <> b").distinct()
+    links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    links = saved(links.mapInArrow(_shortened, "a long, b long").distinct())
     while True:
         links = saved(_small_star(_large_star(links)).where("a <> b").distinct())
         # Every link leads down. Where none leads on from its lower end, only stars are left.

@@ -168,7 +168,7 @@ def rough_links(nodes: DataFrame) -> DataFrame:
     blocks = shared.where("block > 0").groupBy("key").agg((F.max("block") + 1).alias("blocks"))
     rows = shared.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     cells = by_group(_meetings(rows, "key").join(nodes.select("node", "sketch"), "node"), "key", "i", "j", least=("node",))
-    return cells.select("cell", "node", "sketch").mapInArrow(_rough_links, "a long, b long").distinct()
+    return cells.select("cell", "node", "sketch").mapInArrow(_rough_links, "a long, b long")
 
 
 def _meetings(rows: DataFrame, *keep: str) -> DataFrame:
@@ -248,9 +248,9 @@ def _members_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     words = ids.groupBy(F.shiftright(bit, 6).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 as int))")).alias("bits")
     )
+    found = words.toArrow()  # one job, and FILTER_BITS / 64 rows at most
     array = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in words.toLocalIterator():
-        array[row.word] = row.bits
+    array[found["word"].to_numpy()] = found["bits"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(array)
 
     def known(batches):
@@ -274,7 +274,7 @@ def _checked(cells: DataFrame, texts: DataFrame) -> DataFrame:
     texts = texts.select(F.col("doc_id").alias("text_id"), F.col("node").alias("text_node"), "text")
     own = (F.col("node") == F.col("text_node")) & F.col("doc_id").eqNullSafe(F.col("text_id"))
     rows = by_group(cells.join(texts, own).select("group", "i", "j", "node", "text"), "group", "i", "j")
-    return rows.select("cell", "node", "text").mapInArrow(_verified, "a long, b long").distinct()
+    return rows.select("cell", "node", "text").mapInArrow(_verified, "a long, b long")
 
 
 def full_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from millrace.llm import dedup
 from millrace.llm.components import components
@@ -135,3 +136,35 @@ def test_words_that_cancel_in_powers_of_any_base_are_not_copies(spark):
         one, other = one + other, other + one
     docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
     assert all(r.kept for r in dedup.near_duplicates(docs).collect())
+
+
+def test_links_of_a_task_are_joined_before_the_first_round(spark, monkeypatch):
+    """A chain in one task needs one round; links dealt at random end in the same components, a few held at a time."""
+    from millrace.llm import components as module
+
+    rounds = []
+    keep = module.saved
+    monkeypatch.setattr(module, "saved", lambda df: rounds.append(1) or keep(df))
+    chain = spark.range(0, 3000, 1, 1).select((F.col("id") * 7).alias("a"), (F.col("id") * 7 + 7).alias("b"))
+    found = components(chain)
+    assert found.count() == 3001 and found.where("component <> 0").count() == 0 and len(rounds) <= 2
+    monkeypatch.setattr(module, "HELD", 5)
+    rnd = random.Random(8)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(-(2**62), 299), (2**62, 2**62 - 1)]
+    head = {n: n for pair in links for n in pair}
+    for _ in links:
+        for a, b in links:
+            head[a] = head[b] = min(head[a], head[b])
+    want = {n: h for n, h in head.items() if any(n in p and p[0] != p[1] for p in links)}
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    assert {r.node: r.component for r in components(df).collect()} == want
+
+
+def test_filter_of_members_is_read_in_one_job(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.format_string("a%d b c d e f%d", "id", "id").alias("text"))
+    context = spark.sparkContext
+    context.setJobGroup("members", "")
+    kept = dedup._members_only(docs, docs.repartition(16, "doc_id").where("doc_id < 300"))
+    context.setJobGroup("others", "")
+    assert len(context.statusTracker().getJobIdsForGroup("members")) <= 3  # by partition: 4 and more
+    assert {r.doc_id for r in kept.collect()} >= set(range(300))
