@@ -64,7 +64,7 @@ def components(links: DataFrame) -> DataFrame:
     and links of a node with itself are left out; no links give no rows.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    links = saved(links.mapInArrow(_shortened, "a long, b long").distinct())
+    links = saved(links.distinct().mapInArrow(_shortened, "a long, b long"))
     while True:
         links = saved(_small_star(_large_star(links)).where("a <> b").distinct())
         # Every link leads down. Where none leads on from its lower end, only stars are left.
