@@ -166,5 +166,5 @@ def test_filter_of_members_is_read_in_one_job(spark):
     context.setJobGroup("members", "")
     kept = dedup._members_only(docs, docs.repartition(16, "doc_id").where("doc_id < 300"))
     context.setJobGroup("others", "")
-    assert len(context.statusTracker().getJobIdsForGroup("members")) <= 3  # by partition: 4 and more
+    assert len(context.statusTracker().getJobIdsForGroup("members")) <= 3
     assert {r.doc_id for r in kept.collect()} >= set(range(300))
