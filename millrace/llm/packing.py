@@ -23,6 +23,8 @@ CAPACITY = 4096
 END = 1
 #: Parts that the documents of one length are numbered in.
 PARTS = 256
+#: Bytes of text that a task gets at a time; two runs of the encoder.
+TEXT_BYTES = 4 << 20
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -105,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     stays null. No rows give no rows. Other columns are not read.
     """
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(PARTS))
-    found = saved(pieces(docs, tokenizer, capacity, end)).withColumn("part", part)
+    found = saved(pieces(docs, tokenizer, capacity, end), TEXT_BYTES).withColumn("part", part)
     parts = found.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = saved(parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))))

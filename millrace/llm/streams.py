@@ -18,22 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Lets Spark delete a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds what Spark hands to Python at a time. By default that is 10,000 rows, however long their texts are.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that lost executors don't cost it.
 
-    Nothing reads the shuffle files behind it again, so they go at once.
+    Nothing reads the shuffle files behind it again, so they go at once. With
+    ``batch_bytes`` Python gets batches of about that many bytes, or one row if it has more.
     """
     session = df.sparkSession
     if session.sparkContext.getCheckpointDir() is None:
         session.sparkContext.setCheckpointDir(shared_dir(session))
-    before = session.conf.get(CLEAN_UP, "false")
-    session.conf.set(CLEAN_UP, "true")
+    settings = {CLEAN_UP: "true"} | ({BATCH_BYTES: str(batch_bytes)} if batch_bytes else {})
+    before = {name: session.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        session.conf.set(name, value)
     try:
         return df.select("*").checkpoint(eager=True)
     finally:
-        session.conf.set(CLEAN_UP, before)
+        for name, value in before.items():
+            if value is None:
+                session.conf.unset(name)
+            else:
+                session.conf.set(name, value)
 
 
 def by_group(df: DataFrame, *key: str, least: tuple[str, ...] = ()) -> DataFrame:

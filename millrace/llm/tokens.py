@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 from millrace.llm.buffers import pieces, text_bytes
 
-#: Words and parts of words whose ids a worker remembers; beyond that it starts anew.
+#: Words and parts of words whose ids a worker remembers at least; beyond twice as many it lets the others go.
 REMEMBERED = 250_000
 LONG_WORD = 64
 #: Words that are encoded in one call.
@@ -26,14 +26,21 @@ _KEPT = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]$"
 RUN_BYTES = 2 << 20
 
 
+def taken(flat: np.ndarray, upto: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists that ``index`` names, one after the other, and the number of entries up to each; list k is
+    ``flat[upto[k] : upto[k + 1]]``.
+    """
+    used = np.diff(upto)[index]
+    total = np.concatenate([[0], np.cumsum(used)])
+    place = np.repeat(upto[index] - total[:-1], used)
+    place += np.arange(total[-1])
+    return flat[place], total
+
+
 def joined(ids: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids that ``index`` names, one after the other, and the number of them up to each entry."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
     length = np.array([len(x) // 4 for x in ids], np.int64)
-    begin = np.cumsum(length) - length
-    used = length[index]
-    total = np.concatenate([[0], np.cumsum(used)])
-    return flat[np.repeat(begin[index] - total[:-1], used) + np.arange(total[-1])], total
+    return taken(np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(length)]), index)
 
 
 class Memory:
@@ -68,6 +75,52 @@ class Memory:
         return [young[w] if w in young else found[w] for w in words] if found else [young[w] for w in words]
 
 
+class Lexicon:
+    """Ids of the words that a worker has met, as flat arrays: some 60 bytes for a word of 8 characters and 5 ids.
+
+    When it is full, the half that was used last stays. Words of over ``LONG_WORD``
+    characters are not kept.
+    """
+
+    def __init__(self, encode, limit: int = 2 * REMEMBERED):
+        self.encode, self.limit = encode, limit
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.upto = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.last = np.zeros(0, np.int32)
+        self.run = 0
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``flat, upto, at``: word k has the ids ``flat[upto[at[k]] : upto[at[k] + 1]]``."""
+        self.run += 1
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        missing = np.flatnonzero(at < 0)
+        self.last[at[at >= 0]] = self.run
+        new, ids, length = words.take(pa.array(missing)), array("I"), []
+        for first in range(0, len(new), CHUNK):
+            for one in self.encode(new.slice(first, CHUNK).to_pylist()):
+                ids.extend(one)
+                length.append(len(one))
+        at[missing] = len(self.words) + np.arange(len(missing))
+        flat = np.concatenate([self.flat, np.frombuffer(ids, "<u4")])
+        upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(length, dtype=np.int64)])
+        self._remember(new, flat, upto)
+        return flat, upto, at
+
+    def _remember(self, new: pa.Array, flat: np.ndarray, upto: np.ndarray) -> None:
+        words = pa.concat_arrays([self.words, new])
+        last = np.concatenate([self.last, np.full(len(new), self.run, np.int32)])
+        short = pc.less_equal(pc.utf8_length(new), LONG_WORD).to_numpy(zero_copy_only=False)
+        kept = np.concatenate([np.ones(len(self.words), bool), short])
+        if kept.sum() > self.limit:
+            order = np.argsort(np.where(kept, -last, 1), kind="stable")  # words that are not kept go last
+            kept = np.isin(np.arange(len(words)), order[: self.limit // 2])
+        if not kept.all():
+            left = np.flatnonzero(kept)
+            words, last = words.take(pa.array(left)), last[left]
+            flat, upto = taken(flat, upto, left)
+        self.words, self.last, self.flat, self.upto = words, last, flat, upto
+
+
 def _ends_of(words: pa.Array, cores: pa.Array) -> pa.Array:
     """What each word has behind its core."""
     data, starts = text_bytes(words)
@@ -100,7 +153,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.memory = Memory(lambda some: [x.ids for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+        self.lexicon = Lexicon(lambda some: [x.ids for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)])
 
     def encode(self, texts: pa.Array, end: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per run of texts: number of the first, all ids, and the number of ids up to each text.
@@ -115,15 +168,17 @@ class WordEncoder:
             upto = 2 * (upto - upto[0])  # a core and marks for each word
             words = split.flatten().dictionary_encode()
             cores, marks = (x.dictionary_encode() for x in peeled(words.dictionary))
-            of_core, of_marks = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (cores, marks))
-            index = np.stack([of_core, len(cores.dictionary) + of_marks], axis=1)
+            of_core, of_marks = (x.indices.to_numpy(zero_copy_only=False) for x in (cores, marks))
+            ids, places, at = self.lexicon.ids(pa.concat_arrays([cores.dictionary, marks.dictionary]))
+            index = np.stack([at[of_core], at[len(cores.dictionary) + of_marks]], axis=1)
             index = index[words.indices.to_numpy(zero_copy_only=False)].reshape(-1)
-            ids = self.memory.ids(cores.dictionary.to_pylist()) + self.memory.ids(marks.dictionary.to_pylist())
             if end is not None:
-                index = np.insert(index, upto[1:], len(ids))
-                ids.append(array("I", [end]).tobytes())
+                index = np.insert(index, upto[1:], len(places) - 1)
+                ids, places = np.append(ids, np.uint32(end)), np.append(places, len(ids) + 1)
                 upto = upto + np.arange(len(upto))
-            flat, total = joined(ids, index)
+            flat, total = taken(ids, places, index)
+            del split, words, cores, marks, of_core, of_marks, ids, places, at, index
+            pa.default_memory_pool().release_unused()  # a worker is kept for other stages, and so would its memory be
             yield first, flat, total[upto]
 
 

@@ -1,11 +1,15 @@
 """Text operators against plain Python, on the odd rows, and on an empty table."""
 
+import gc
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import language, lengths, licenses, mixing, packing, pii
@@ -58,6 +62,52 @@ def test_every_letter_with_marks_behind_it_is_encoded_as_in_its_text():
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
+def test_a_worker_remembers_words_in_little_memory():
+    from millrace.llm.tokens import RUN_BYTES, WordEncoder
+
+    texts = [" ".join(f"{'abcdefghij'[n % 10]}{zlib.crc32(str(n).encode()):x}" for n in range(a, a + 200)) for a in range(0, 200_000, 200)]
+    assert sum(map(len, texts)) < RUN_BYTES
+    encoder = WordEncoder(WORD_TOKENIZER)
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        assert [len(upto) for _, _, upto in encoder.encode(pa.array(texts), 1)] == [len(texts) + 1]
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert held < 200_000 * 90
+
+
+def test_words_that_are_remembered_and_those_that_are_not():
+    from millrace.llm.tokens import LONG_WORD, Lexicon
+
+    asked = []
+    lexicon = Lexicon(lambda some: asked.extend(some) or [[len(w), *w.encode()[:3]] for w in some], limit=10)
+    for run in range(12):
+        words = ["", "often", "x" * (LONG_WORD + 1), *(f"{run} {n}" for n in range(run))]
+        flat, upto, at = lexicon.ids(pa.array(words, pa.large_string()))
+        assert [flat[upto[k] : upto[k + 1]].tolist() for k in at] == [[len(w), *w.encode()[:3]] for w in words]
+        assert len(lexicon.words) <= 10
+    assert asked.count("often") == 1 and asked.count("x" * (LONG_WORD + 1)) == 12
+    flat, upto, at = lexicon.ids(pa.array([], pa.large_string()))
+    assert len(at) == 0
+
+
+def test_saved_bounds_batches_by_bytes(spark):
+    from millrace.llm.streams import BATCH_BYTES, saved
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"rows": pa.array([batch.num_rows]), "bytes": pa.array([batch.nbytes])})
+
+    before = spark.conf.get(BATCH_BYTES)
+    texts = spark.range(0, 900, 1, 1).select(F.repeat(F.lit("some words "), 1000).alias("text"))
+    found = saved(texts.mapInArrow(sizes, "rows long, bytes long"), 1 << 20).collect()
+    assert sum(r.rows for r in found) == 900 and max(r.bytes for r in found) < 1.2 * (1 << 20)
+    assert spark.conf.get(BATCH_BYTES) == before
+
+
 def expected_pieces(rows, capacity):
     tokenizer, out = Tokenizer.from_file(WORD_TOKENIZER), []
     for doc, text, _ in rows:
