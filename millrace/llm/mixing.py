@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 # Weights of the sources in code point order, over and over.
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -67,13 +69,14 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     ended = parts.select("source_key", "part", "words", F.sum("words").over(upto).alias("upto"))
     ended = ended.join(wanted, "source_key").where("upto - words <= extra and extra < upto")
     ended = ended.groupBy("source_key").agg(F.min("part").alias("end_part"), F.min_by(F.expr("upto - words"), "part").alias("used"))
-    # One row for each source; not hinted, so it is sent to all tasks only while it is small.
+    # One row for each source; not hinted, so it is sent to all tasks only while it is small. It is written first, for
+    # while its size is not known, all texts are shuffled to it.
     shares = wanted.join(ended, "source_key", "left").select(
         F.col("source_key").alias("mix_key"),
         F.struct("source_size", "target", "whole", "extra", F.coalesce("end_part", F.lit(PARTS)).alias("end_part"), "used")
         .alias("mix_share"),
     )
-    joined = rows.join(shares, F.col("mix.source_key") == F.col("mix_key"))
+    joined = rows.join(cut(shares, "mix-shares"), F.col("mix.source_key") == F.col("mix_key"))
     size, share = F.col("mix.size"), F.col("mix_share")
 
     def finished(frame: DataFrame, extra) -> DataFrame:

@@ -108,6 +108,21 @@ def test_saved_bounds_batches_by_bytes(spark):
     assert spark.conf.get(BATCH_BYTES) == before
 
 
+def test_mixing_shuffles_no_texts_while_its_sources_are_few(spark, tmp_path):
+    rows = [(n, f"{n} " + "word " * 2000, None, f"s{n % 3}") for n in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "docs"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "8k")
+    try:
+        mix = mixing.sampled(spark.read.parquet(str(tmp_path / "docs")))
+        plan = mix._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert mix.count() >= 300
+
+
 def expected_pieces(rows, capacity):
     tokenizer, out = Tokenizer.from_file(WORD_TOKENIZER), []
     for doc, text, _ in rows:
