@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from millrace.llm.buffers import mix, shingle_sets
-from millrace.llm.components import components
+from millrace.llm.components import joined, stars
 from millrace.llm.streams import bounds, by_group, fixed_binary, saved, to_fixed_binary, whole_groups
 
 WIDTH = 5
@@ -223,7 +223,7 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for one, other in _full_links([*sets.values()]) if len(names) > 1 else []:
                 a.append(names[one])
                 b.append(names[other])
-        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        yield joined(np.array([a, b], np.int64).T)
 
 
 def _nodes_of(texts: pa.Array) -> np.ndarray:
@@ -270,45 +270,48 @@ def _members_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _checked(cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """``cells(node, doc_id, group, i, j)``: links on full sets within each ``(group, i, j)``."""
+    """``cells(node, doc_id, group, i, j)``: stars of the links on full sets within each ``(group, i, j)``."""
     texts = texts.select(F.col("doc_id").alias("text_id"), F.col("node").alias("text_node"), "text")
     own = (F.col("node") == F.col("text_node")) & F.col("doc_id").eqNullSafe(F.col("text_id"))
     rows = by_group(cells.join(texts, own).select("group", "i", "j", "node", "text"), "group", "i", "j")
     return rows.select("cell", "node", "text").mapInArrow(_verified, "a long, b long")
 
 
-def full_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b``: links of the threshold, as many as join all that such links join within each rough group.
+def full_groups(nodes: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, component``, as ``stars`` has them: what links of the threshold join within each rough group.
 
     A group is cut into blocks. First each block is compared within itself, together
-    with the group's first node. Only for groups that are still in parts, the nodes
-    outside the largest part then meet all nodes of the group, block by block.
+    with the group's first node. That one is the smallest and all that blocks share,
+    so their stars are those of the group. Only for groups that are still in parts, the
+    nodes outside the largest part then meet all nodes of the group, block by block.
     """
-    members = groups.withColumnRenamed("component", "group").join(nodes.select("node", "doc_id", "n_shingles"), "node")
+    members = nodes.select("node", "doc_id", "n_shingles").join(groups.hint("merge"), "node", "left")
+    members = members.withColumn("group", F.coalesce("component", "node")).drop("component")
     sizes = members.groupBy("group").agg(
+        F.count("*").alias("n"),
         F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).alias("blocks"),
-        F.min_by("doc_id", "node").alias("first_doc"),
     )
-    members = saved(members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")))
-    first = members.where("node = group and blocks > 1").select(
-        "node", "doc_id", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i")
-    )
-    within = members.select("node", "doc_id", "group", F.col("block").alias("i")).union(first).distinct()
+    members = members.join(sizes.where("n > 1").drop("n"), "group")
+    members = saved(members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")))
+    count = lambda name: F.sequence(F.lit(0).cast("long"), F.col(name) - 1)
+    blocks = F.when(F.col("node") == F.col("group"), count("blocks")).otherwise(F.array("block"))
+    within = members.select("node", "doc_id", "group", F.explode(blocks).alias("i")).withColumn("j", F.col("i"))
     texts = _members_only(docs, members)
-    links = saved(_checked(within.withColumn("j", F.col("i")), texts))
+    found = saved(_checked(within, texts)).toDF("node", "component")
     large = members.where("blocks > 1")
     if large.isEmpty():
-        return links
-    parts = large.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return found
+    parts = large.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = parts.groupBy("group", "component").agg(F.count("*").alias("n"))
     main = counted.groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     parts = saved(parts.join(main, "group").withColumn("rest", F.col("component") != F.col("main")))
+    if parts.where("rest").isEmpty():
+        return found
     rest = parts.where("rest").groupBy("group").agg(F.ceil(F.count("*") / GROUP_BLOCK).alias("rest_blocks"))
     rows = parts.join(rest, "group").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "rest_blocks"))
-    count = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
-    left = rows.where("rest").select("node", "doc_id", "group", F.col("part").alias("i"), count("blocks").alias("j"))
-    right = rows.select("node", "doc_id", "group", count("rest_blocks").alias("i"), F.col("block").alias("j"))
-    return links.union(_checked(left.union(right).distinct(), texts))
+    left = rows.where("rest").select("node", "doc_id", "group", F.col("part").alias("i"), F.explode(count("blocks")).alias("j"))
+    right = rows.select("node", "doc_id", "group", F.explode(count("rest_blocks")).alias("i"), F.col("block").alias("j"))
+    return stars(found.toDF("a", "b").union(_checked(left.union(right).distinct(), texts)))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -322,9 +325,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
             F.first("halves").alias("halves"), F.first("sketch").alias("sketch"),
         )
     )
-    groups = components(rough_links(nodes))
-    joined = components(full_links(nodes, groups, docs))
-    named = nodes.select("node", "doc_id").join(joined, "node", "left").withColumn(
+    found = full_groups(nodes, stars(rough_links(nodes)), docs)
+    named = nodes.select("node", "doc_id").join(found.hint("merge"), "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -168,3 +168,43 @@ def test_filter_of_members_is_read_in_one_job(spark):
     context.setJobGroup("others", "")
     assert len(context.statusTracker().getJobIdsForGroup("members")) <= 3
     assert {r.doc_id for r in kept.collect()} >= set(range(300))
+
+
+def test_links_that_meet_in_no_task_are_joined(spark):
+    """Each node in a task of its own: 4 and 5 are joined through 3, which is neither's smallest end."""
+    links = [(4, 3), (4, 1), (5, 3), (5, 2)]
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found == dict.fromkeys(range(1, 6), 1)
+
+
+def test_links_of_a_node_are_joined_beyond_what_is_held(monkeypatch):
+    from millrace.llm import components as module
+
+    monkeypatch.setattr(module, "HELD", 2)
+    links = [(9, 1), (9, 2), (9, 3), (9, 4), (10, 4), (11, 12)]
+    batches = [pa.record_batch({"a": pa.array([a]), "b": pa.array([b])}) for a, b in links]
+    found = [(r["a"], r["b"]) for part in module._shortened([batches[0].slice(1), *batches]) for r in part.to_pylist()]
+    head = {n: n for link in links for n in link}
+    for _ in links:
+        for a, b in found:
+            head[a] = head[b] = min(head[a], head[b])
+    assert head == dict.fromkeys((1, 2, 3, 4, 9, 10), 1) | {11: 11, 12: 11}
+
+
+def test_stars_of_blocks_need_no_rounds(spark, monkeypatch):
+    """Only rough groups, and what is left in parts, are joined in rounds."""
+    monkeypatch.setattr(dedup, "GROUP_BLOCK", 8)
+    rounds = []
+    keep = dedup.stars
+    monkeypatch.setattr(dedup, "stars", lambda links: rounds.append(1) or keep(links))
+    rows = [(k, " ".join(f"x{k}" if i == 7 * (k % 9) else f"w{i}" for i in range(90)) + f" y{k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(dedup.near_duplicates(df)) == brute(rows) and len(rounds) == 1
