@@ -16,15 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.streams import saved
+from millrace.llm.streams import TEXT_BYTES, saved
 from millrace.llm.tokens import word_encoder
 
 CAPACITY = 4096
 END = 1
 #: Parts that the documents of one length are numbered in.
 PARTS = 256
-#: Bytes of text that a task gets at a time; two runs of the encoder.
-TEXT_BYTES = 4 << 20
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

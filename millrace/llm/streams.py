@@ -20,6 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bounds what Spark hands to Python at a time. By default that is 10,000 rows, however long their texts are.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of text that a task gets at a time.
+TEXT_BYTES = 4 << 20
 
 
 def saved(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:

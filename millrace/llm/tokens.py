@@ -11,19 +11,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from millrace.llm.buffers import pieces, text_bytes
+from millrace.llm.buffers import pieces, text_bytes, word_hashes
 
 #: Words and parts of words whose ids a worker remembers at least; beyond twice as many it lets the others go.
 REMEMBERED = 250_000
 LONG_WORD = 64
 #: Words that are encoded in one call.
-CHUNK = 8192
+CHUNK = 1024
 #: Marks that are peeled off a word's end, and what they may be peeled off: letters and digits that the tokenizer keeps
 #: as one letter or digit. (Others may end in a combining mark, which goes into one token with the marks behind it.)
 _MARKS = ".,;:!?&$#%*|)"
 _KEPT = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]$"
 #: Bytes of text in work at a time; a longer text is a run alone.
 RUN_BYTES = 2 << 20
+#: The same in a task, whose worker's memory counts against its executor's.
+TASK_RUN_BYTES = 1 << 19
 
 
 def taken(flat: np.ndarray, upto: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,24 +77,36 @@ class Memory:
         return [young[w] if w in young else found[w] for w in words] if found else [young[w] for w in words]
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, 0 for an empty one."""
+    data, starts = text_bytes(words)
+    full = np.flatnonzero(np.diff(starts))
+    out = np.zeros(len(words), np.uint64)
+    out[full] = word_hashes(data, starts[:-1][full], starts[1:][full])
+    return out
+
+
 class Lexicon:
-    """Ids of the words that a worker has met, as flat arrays: some 60 bytes for a word of 8 characters and 5 ids.
+    """Ids of the words that a worker has met, as flat arrays: some 70 bytes for a word of 8 characters and 5 ids.
 
-    When it is full, the half that was used last stays. Words of over ``LONG_WORD``
-    characters are not kept.
+    Words are found by binary search among their hashes, and compared, so a run costs
+    what its own words do. When it is full, the half that was used last stays. Words of
+    over ``LONG_WORD`` characters are not kept.
     """
 
-    def __init__(self, encode, limit: int = 2 * REMEMBERED):
+    def __init__(self, encode, limit: int = REMEMBERED):
         self.encode, self.limit = encode, limit
         self.words = pa.array([], pa.large_string())
         self.flat, self.upto = np.zeros(0, "<u4"), np.zeros(1, np.int64)
         self.last = np.zeros(0, np.int32)
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # in order of the hashes
         self.run = 0
 
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``flat, upto, at``: word k has the ids ``flat[upto[at[k]] : upto[at[k] + 1]]``."""
         self.run += 1
-        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        hashes = _hashes(words)
+        at = self._found(words, hashes)
         missing = np.flatnonzero(at < 0)
         self.last[at[at >= 0]] = self.run
         new, ids, length = words.take(pa.array(missing)), array("I"), []
@@ -103,22 +117,47 @@ class Lexicon:
         at[missing] = len(self.words) + np.arange(len(missing))
         flat = np.concatenate([self.flat, np.frombuffer(ids, "<u4")])
         upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(length, dtype=np.int64)])
-        self._remember(new, flat, upto)
+        self._remember(new, hashes[missing], flat, upto)
         return flat, upto, at
 
-    def _remember(self, new: pa.Array, flat: np.ndarray, upto: np.ndarray) -> None:
-        words = pa.concat_arrays([self.words, new])
-        last = np.concatenate([self.last, np.full(len(new), self.run, np.int32)])
-        short = pc.less_equal(pc.utf8_length(new), LONG_WORD).to_numpy(zero_copy_only=False)
-        kept = np.concatenate([np.ones(len(self.words), bool), short])
-        if kept.sum() > self.limit:
-            order = np.argsort(np.where(kept, -last, 1), kind="stable")  # words that are not kept go last
-            kept = np.isin(np.arange(len(words)), order[: self.limit // 2])
-        if not kept.all():
-            left = np.flatnonzero(kept)
-            words, last = words.take(pa.array(left)), last[left]
-            flat, upto = taken(flat, upto, left)
-        self.words, self.last, self.flat, self.upto = words, last, flat, upto
+    def _found(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word; -1 if it is not kept."""
+        at = np.full(len(words), -1, np.int64)
+        if not len(self.hashes):
+            return at
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        maybe = np.flatnonzero(self.hashes[place] == hashes)
+        place = self.places[place[maybe]]
+        same = pc.equal(self.words.take(pa.array(place)), words.take(pa.array(maybe))).to_numpy(zero_copy_only=False)
+        at[maybe[same]] = place[same]
+        return at
+
+    def _remember(self, new: pa.Array, hashes: np.ndarray, flat: np.ndarray, upto: np.ndarray) -> None:
+        short = np.flatnonzero(pc.less_equal(pc.utf8_length(new), LONG_WORD).to_numpy(zero_copy_only=False))
+        if len(short) < len(new):
+            ids, length = taken(flat, upto, len(self.words) + short)
+            flat = np.concatenate([self.flat, ids])
+            upto = np.concatenate([self.upto, self.upto[-1] + length[1:]])
+            new, hashes = new.take(pa.array(short)), hashes[short]
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order], side="right")
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.places = np.insert(self.places, at, len(self.words) + order.astype(np.int32))
+        self.words = pa.concat_arrays([self.words, new])
+        self.last = np.concatenate([self.last, np.full(len(new), self.run, np.int32)])
+        self.flat, self.upto = flat, upto
+        if len(self.words) > self.limit:
+            self._forget()
+
+    def _forget(self) -> None:
+        """The half of the limit that was used last stays."""
+        left = np.sort(np.argsort(-self.last, kind="stable")[: self.limit // 2])
+        now = np.full(len(self.words), -1, np.int32)
+        now[left] = np.arange(len(left))
+        stays = now[self.places] >= 0
+        self.hashes, self.places = self.hashes[stays], now[self.places[stays]]
+        self.words, self.last = self.words.take(pa.array(left)), self.last[left]
+        self.flat, self.upto = taken(self.flat, self.upto, left)
 
 
 def _ends_of(words: pa.Array, cores: pa.Array) -> pa.Array:
@@ -148,7 +187,8 @@ class WordEncoder:
     again by index.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, run_bytes: int = RUN_BYTES):
+        self.run_bytes = run_bytes
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         from tokenizers import Tokenizer
 
@@ -162,7 +202,7 @@ class WordEncoder:
         """
         texts = texts.cast(pa.large_string()).fill_null("")
         _, starts = text_bytes(texts)
-        for first, last in pieces(starts, RUN_BYTES):
+        for first, last in pieces(starts, self.run_bytes):
             split = pc.ascii_split_whitespace(texts.slice(first, last - first))
             upto = split.offsets.to_numpy().astype(np.int64)
             upto = 2 * (upto - upto[0])  # a core and marks for each word
@@ -185,4 +225,4 @@ class WordEncoder:
 @functools.cache
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each worker, so that a task finds what the ones before it met."""
-    return WordEncoder(path)
+    return WordEncoder(path, TASK_RUN_BYTES)

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from millrace.llm.streams import BATCH_BYTES, TEXT_BYTES
 from tests.llm.fixtures import odd_documents, words
 from tests.llm.test_dedup import brute
 from tests.llm.test_texts import check_packed
@@ -37,3 +38,18 @@ def test_stages_one_after_the_other(spark, sf_dir, tmp_path):
 def test_run_takes_odd_rows(spark, tmp_path):
     odd_documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_every_stage_gets_texts_in_small_batches(spark, tmp_path):
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(BATCH_BYTES, str(64 << 20))
+            stage(spark, odd_documents(spark), str(tmp_path))
+            assert spark.conf.get(BATCH_BYTES) == str(TEXT_BYTES)
+        spark.conf.set(BATCH_BYTES, str(32 << 20))
+        odd_documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+        corpus_pipeline.run(spark, str(tmp_path))
+        assert spark.conf.get(BATCH_BYTES) == str(32 << 20)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)

@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,37 @@ def test_words_that_are_remembered_and_those_that_are_not():
     assert len(at) == 0
 
 
+def test_a_task_encodes_in_little_memory():
+    from millrace.llm import tokens
+
+    texts = [" ".join(f"{'abcdefghij'[n % 10]}{zlib.crc32(str(n).encode()):x}" for n in range(a, a + 200)) for a in range(0, 400_000, 200)]
+    assert sum(map(len, texts)) > 3 << 20
+    encoder = tokens.word_encoder.__wrapped__(WORD_TOKENIZER)
+    pool = pa.default_memory_pool()
+    watched = pa.proxy_memory_pool(pool)
+    pa.set_memory_pool(watched)
+    tracemalloc.start()
+    try:
+        found = [np.diff(upto) for _, _, upto in encoder.encode(pa.array(texts), 1)]
+        peak = tracemalloc.get_traced_memory()[1] + watched.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(pool)
+    assert np.concatenate(found).tolist() == [len(x.ids) + 1 for x in Tokenizer.from_file(WORD_TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    assert peak < 80_000_000
+
+
+def test_words_whose_hashes_are_equal(monkeypatch):
+    from millrace.llm import tokens
+
+    monkeypatch.setattr(tokens, "_hashes", lambda words: np.full(len(words), 7, np.uint64))
+    lexicon = tokens.Lexicon(lambda some: [[len(w), *w.encode()[:3]] for w in some], limit=6)
+    for run in range(5):
+        words = ["", "often", "x" * (tokens.LONG_WORD + 1), f"{run}", "often"]
+        flat, upto, at = lexicon.ids(pa.array(words, pa.large_string()))
+        assert [flat[upto[k] : upto[k + 1]].tolist() for k in at] == [[len(w), *w.encode()[:3]] for w in words]
+
+
 def test_saved_bounds_batches_by_bytes(spark):
     from millrace.llm.streams import BATCH_BYTES, saved
 
