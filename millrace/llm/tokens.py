@@ -25,7 +25,7 @@ _KEPT = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]$"
 #: Bytes of text in work at a time; a longer text is a run alone.
 RUN_BYTES = 2 << 20
 #: The same in a task, whose worker's memory counts against its executor's.
-TASK_RUN_BYTES = 1 << 19
+TASK_RUN_BYTES = 1 << 20
 
 
 def taken(flat: np.ndarray, upto: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
